@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linking
+from . import linking, splitting, survivors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,33 @@ def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count("*").alias("n_groups"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.broken_groups(spark, table(spark, sf_dir, "manifest"))
+
+
+def p3_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New split of every group, or of the item or path where there is no group."""
+    return splitting.assign(spark, table(spark, sf_dir, "manifest")).groupBy("component", "entity", "new_split").agg(F.sum("n").alias("n_rows"))
+
+
+def p3_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and share of each new split, overall and within each source."""
+    return splitting.balance(splitting.assign(spark, table(spark, sf_dir, "manifest")))
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survivors.survivors(table(spark, sf_dir, "mango_curation"), table(spark, sf_dir, "mango_captures"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).select("family_id", "item_id").distinct()
+
+
+def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors with the best values known for their fields."""
+    return _survivors(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
@@ -47,8 +74,40 @@ P4_LINKS = """
 """
 
 
+# The marks of a copy and of an editor, as the operators count them.
+P5_RANKED = r"""
+    best AS (
+        SELECT item_id,
+            arg_max(software, read_at) FILTER (trim(software) <> '') AS software,
+            arg_max(width, read_at) FILTER (width IS NOT NULL) AS width,
+            arg_max(height, read_at) FILTER (height IS NOT NULL) AS height
+        FROM mango_captures GROUP BY item_id),
+    ranked AS (
+        SELECT DISTINCT lower(trim(family_id)) AS family_id, c.class_label, c.item_id, c.relative_path,
+            coalesce(regexp_matches(lower(software), 'photo editor|photoshop|gimp'), false) AS edited,
+            coalesce(width::BIGINT * height, 0) AS area,
+            regexp_replace(regexp_extract(c.relative_path, '[^/]*$'), '(.)\.[^.]*$', '\1') AS stem
+        FROM mango_curation c LEFT JOIN best USING (item_id) WHERE trim(family_id) <> ''),
+    marked AS (
+        SELECT *, len(regexp_extract_all(stem, '(?i)\(\s*custom\s*\)|\bcopy\b'))
+            + regexp_matches(stem, '[ _-]\d{1,3}\s*(?:\([^)]*\)\s*)*$')::INT
+            + len(regexp_extract_all(regexp_extract(stem, '(?:\([^)]*\)\s*)*$'), '\(\d+\)')) AS about
+        FROM ranked),
+    chosen AS (
+        SELECT family_id, item_id, row_number() OVER (
+            PARTITION BY family_id, class_label ORDER BY edited, area DESC, about, relative_path, item_id) AS place
+        FROM marked)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": """SELECT lower(trim(group_id)) AS group_id FROM manifest
+            WHERE trim(group_id, chr(9) || chr(10) || chr(13) || ' ') <> '' GROUP BY 1
+            HAVING count(DISTINCT CASE lower(trim(split, chr(9) || chr(10) || chr(13) || ' '))
+                WHEN 'train' THEN 1 WHEN 'training' THEN 1 WHEN 'val' THEN 2 WHEN 'valid' THEN 2
+                WHEN 'validation' THEN 2 WHEN 'test' THEN 3 WHEN 'testing' THEN 3 END) > 1""",
+        "p5_found": f"WITH {P5_RANKED} SELECT DISTINCT family_id, item_id FROM chosen WHERE place = 1",
         "p4_found": f"WITH RECURSIVE {P4_LINKS} SELECT item_id, group_item_id FROM grouped",
         "p4_group_sizes": f"""WITH RECURSIVE {P4_LINKS},
             sizes AS (SELECT group_item_id, count(*) AS members FROM grouped GROUP BY 1)
