@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Blanks that Python's str.split and str.strip also remove.
 BLANKS = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+BLANK_CHARS = "".join(chr(x) for x in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -15,7 +17,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Remove every kind of blank from both ends, not only the space."""
-    return F.regexp_replace(col(c), f"^{BLANKS}+|{BLANKS}+$", "")
+    return F.trim(col(c), F.lit(BLANK_CHARS))
 
 
 def missing_to_null(c: Column | str) -> Column:
