@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linking, splitting, survivors
+from ..session import Scratch
+from . import linking, packing, splitting, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,25 @@ def p5_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _survivors(spark, sf_dir)
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = Scratch(spark, "packing").save(tokens.token_counts(table(spark, sf_dir, "documents")))
+    return packing.pack(spark, counts, table(spark, sf_dir, "pack_sizes"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container of every text, or of each piece of a text longer than the container."""
+    return _packed(spark, sf_dir)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the containers of each capacity are filled."""
+    return packing.fill(_packed(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
