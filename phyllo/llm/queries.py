@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import linking, packing, splitting, survivors, tokens
+from . import linking, neardup, packing, splitting, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,20 @@ def p4_group_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count("*").alias("n_groups"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.group_pairs(neardup.photographs(spark, table(spark, sf_dir, "items")))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item with its photograph, which is its own id where it has no copy, and the number of its copies."""
+    items = table(spark, sf_dir, "items")
+    groups = neardup.photographs(spark, items)
+    sizes = groups.groupBy("group_item_id").agg((F.count("*") - 1).alias("n_copies"))
+    found = groups.join(sizes, "group_item_id")
+    rows = items.select("item_id").distinct().join(found, "item_id", "left")
+    return rows.select("item_id", F.coalesce("group_item_id", "item_id").alias("group_item_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.broken_groups(spark, table(spark, sf_dir, "manifest"))
 
