@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import linking, neardup, packing, splitting, survivors, tokens
+from . import linking, neardup, overlap, packing, splitting, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("item_id", F.coalesce("group_item_id", "item_id").alias("group_item_id"), F.coalesce("n_copies", F.lit(0)).alias("n_copies"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.split_overlaps(spark, table(spark, sf_dir, "items"), table(spark, sf_dir, "manifest"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the overlaps per evaluation split and source."""
+    return overlap.overlap_report(p2_found(spark, sf_dir), table(spark, sf_dir, "manifest"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.broken_groups(spark, table(spark, sf_dir, "manifest"))
 
