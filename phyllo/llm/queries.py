@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import linking, neardup, overlap, packing, splitting, survivors, tokens
+from . import linking, neardup, overlap, packing, reading, splitting, survivors, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(_packed(spark, sf_dir))
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of every document, null for those that are not running prose."""
+    return reading.levels(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_grades")).select("doc_id", "level")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).where("level >= 4").select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
