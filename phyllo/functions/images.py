@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -208,9 +207,12 @@ def read_exif(data: bytes) -> dict[str, object]:
     return out
 
 
-@F.pandas_udf("make string, model string, capture_time string, software string, width int, height int, orientation int")
-def exif_fields(content: pd.Series) -> pd.DataFrame:
+EXIF_SCHEMA = "make string, model string, capture_time string, software string, width int, height int, orientation int"
+
+
+def exif_frame(content: pd.Series) -> pd.DataFrame:
+    """EXIF fields of a batch of files, for a vectorised UDF of type EXIF_SCHEMA."""
     rows = [read_exif(c or b"") for c in content]
     names = ("make", "model", "capture_time", "software", "width", "height", "orientation")
     frame = pd.DataFrame([[r.get(k) for k in names] for r in rows], columns=list(names))
-    return frame.astype({k: "Int32" for k in ("width", "height", "orientation")})
+    return frame.astype({k: "Int32" for k in names[4:]})

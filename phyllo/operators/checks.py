@@ -118,7 +118,7 @@ def bad_inventory(files: DataFrame, categories: DataFrame, per_category: int | N
     odd = files.where(F.coalesce(unsafe, F.lit(True))).select(F.lit("unsafe path").alias("problem"), "path", F.lit(1).cast("long").alias("n"))
     same = files.groupBy(F.lower("path").alias("path")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit("names differ only in case").alias("problem"), "path", "n")
     out = odd.unionByName(same)
-    folder = files.select(F.element_at(parts, -2).alias("category")).where("category IS NOT NULL")
+    folder = files.select(F.try_element_at(parts, F.lit(-2)).alias("category")).where("category IS NOT NULL")
     strange = folder.join(categories.select("category"), "category", "left_anti").groupBy(F.col("category").alias("path")).agg(F.count("*").alias("n"))
     out = out.unionByName(strange.select(F.lit("unknown category").alias("problem"), "path", "n"))
     if per_category is not None:

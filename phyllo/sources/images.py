@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.images import exif_fields, fingerprint_batches
+from ..functions.images import EXIF_SCHEMA, exif_frame, fingerprint_batches
 
 #: Suffixes of pictures, in lower case.
 IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
@@ -22,8 +22,8 @@ def is_image_path(path: Column | str) -> Column:
 def find_images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """Pictures below a folder: ``image_path``, ``relative_path``, ``length`` (and ``content``).
 
-    Spark's scan leaves out names that begin with an underscore. The contents
-    are read only if asked for, since the scan prunes that column.
+    Spark's scan leaves out files without content and names that begin with an
+    underscore. The contents are read only if asked for, since the scan prunes that column.
     """
     root = folder.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
@@ -37,8 +37,7 @@ def find_images(spark: SparkSession, folder: str, with_content: bool = False) ->
 def fingerprints(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pixel hash and eight perceptual hashes of each picture, and the unreadable ones.
 
-    images: ``image_path`` and ``content``. Spark's image source decodes the
-    pixels in the JVM; the orientation comes from the file's own EXIF block.
+    images: ``image_path`` and ``content``; the files are decoded in Arrow batches.
     Returns (``image_path``, ``sha256_pixels``, ``hashes``, ``width``, ``height``)
     and (``image_path``, ``error``).
     """
@@ -48,7 +47,7 @@ def fingerprints(images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def capture_metadata(images: DataFrame) -> DataFrame:
     """EXIF fields of each JPEG: make, model, capture_time, software, width and height as raw values."""
-    fields = exif_fields(F.col("content"))
+    fields = F.pandas_udf(exif_frame, EXIF_SCHEMA)("content")
     return images.select("image_path", fields.alias("e")).select("image_path", "e.*")
 
 
