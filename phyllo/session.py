@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="phyllo-shared-")
+    folder = tempfile.mkdtemp(prefix="phyllo-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = "file://" + folder
     spark.sparkContext.setCheckpointDir(made)
     return made
 
