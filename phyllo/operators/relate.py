@@ -113,6 +113,27 @@ def near_pairs(items: DataFrame, radius: int = 4) -> DataFrame:
     return pairs.groupBy(*keys).agg(F.min("phash_distance").alias("phash_distance"))
 
 
+def near_links(items: DataFrame, radius: int = 4) -> DataFrame:
+    """Edges with the same components as ``near_pairs``, without all pairs of a crowd.
+
+    Contents with equal hash lists (blank pictures, say) are linked as a star;
+    only one of them meets other lists. Which of two items is the later one
+    decides whose orientations count, so two lists are compared in a direction
+    if some item of the one precedes some item of the other.
+    """
+    if not 0 <= radius <= 16:
+        raise ValueError("the radius must be between 0 and 16")
+    firsts = first_occurrences(items).select("first.key", "first.item_id", "first.hashes").where("size(hashes) > 0")
+    lists = firsts.groupBy("hashes").agg(F.min_by("item_id", "key").alias("rep"), F.min("key").alias("earliest"), F.max("key").alias("last"), F.count("*").alias("n"))
+    star = firsts.join(lists.where("n > 1").select("hashes", "rep"), "hashes").where("item_id <> rep").select(F.col("rep").alias("a"), F.col("item_id").alias("b"))
+    canon = lists.select(F.col("rep").alias("a"), "earliest", F.element_at("hashes", 1).alias("canonical"))
+    canon = canon.withColumn("p", F.explode(_bands(F.col("canonical"), radius))).select("a", "earliest", "canonical", "p.*")
+    turned = lists.select(F.col("rep").alias("b"), "last", F.explode(F.array_distinct("hashes")).alias("turn"))
+    turned = turned.withColumn("p", F.explode(_bands(F.col("turn"), radius))).select("b", "last", "turn", "p.*")
+    met = turned.join(canon, ["band", "part"]).where((F.col("a") != F.col("b")) & (F.col("earliest") < F.col("last")) & (hamming("turn", "canonical") <= radius))
+    return star.unionByName(met.select("a", "b").distinct())
+
+
 def conflicting_content(items: DataFrame) -> DataFrame:
     """Content hashes whose copies have more than one label, with the number of copies and labels."""
     counts = readable(items).groupBy("sha256_pixels").agg(F.count("*").alias("n_images"), F.min("class_label").alias("l0"), F.max("class_label").alias("l1"), F.count_distinct("class_label").alias("n_labels"))

@@ -217,7 +217,7 @@ def related(spark: SparkSession, sf_dir: str, radius: int = 4) -> DataFrame:
     from .session import Scratch
 
     items = Scratch(spark, "items").save(_items(spark, sf_dir))
-    edges = relate.links(relate.exact_pairs(items), relate.near_pairs(items, radius), relate.known_group_edges(items))
+    edges = relate.links(relate.exact_pairs(items), relate.near_links(items, radius), relate.known_group_edges(items))
     return relate.with_components(spark, relate.readable(items), edges)
 
 
@@ -306,7 +306,7 @@ def _curated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     items = scratch.save(_items(spark, sf_dir))
     details = scratch.save(curate.capture_details(curate.latest_captures(table(spark, sf_dir, "mango_captures"))))
     mine = relate.readable(items).where(F.col("source_dataset") == curate.CURATED_SOURCE)
-    edges = relate.links(relate.exact_pairs(items), relate.near_pairs(items), relate.known_group_edges(items), curate.capture_edges(mine, details))
+    edges = relate.links(relate.exact_pairs(items), relate.near_links(items), relate.known_group_edges(items), curate.capture_edges(mine, details))
     return curate.curate(spark, relate.without_conflicts(relate.with_components(spark, relate.readable(items), edges)), details)
 
 

@@ -41,6 +41,25 @@ def test_near_pairs_equal_brute_force(spark, make_items, radius):
     assert got == brute_near(keys, radius)
 
 
+@pytest.mark.parametrize("radius", [0, 3, 6])
+def test_near_links_have_the_components_of_the_pairs(spark, make_items, radius):
+    rng = random.Random(radius)
+    lists = []
+    for _ in range(14):
+        h = rng.getrandbits(64)
+        for _ in range(3):  # close in one direction only: the canonical hash of one among the turns of the other
+            g = h
+            for bit in rng.sample(range(64), rng.randrange(0, radius + 2)):
+                g ^= 1 << bit
+            turns = [rng.getrandbits(64), g] if rng.random() < 0.5 else [g, rng.getrandbits(64)]
+            lists.append([signed(x) for x in turns])
+    rows = [{"hashes": rng.choice(lists), "source": rng.choice("ab"), "relative_path": f"{rng.randrange(10**6):06}.jpg"} for _ in range(120)]
+    items = make_items(*rows)
+    pairs, links = relate.near_pairs(items, radius), relate.near_links(items, radius)
+    a, b = (rows_of(relate.with_components(spark, items, relate.links(e)), "item_id", "root") for e in (pairs, links))
+    assert a == b and links.count() <= pairs.count()
+
+
 def test_exact_pairs_are_a_star_across_sources(make_items):
     items = make_items({"sha": "x", "source": "b"}, {"sha": "x", "source": "a"}, {"sha": "x", "source": "c"}, {"sha": None}, {"sha": None})
     pairs = relate.exact_pairs(items)
