@@ -26,8 +26,9 @@ def class_marginals(matrix: DataFrame, labels: DataFrame, *keys: str) -> DataFra
     said = matrix.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*").groupBy(*keys, "label_index").agg(*(F.sum(c).alias(c) for c in sums))
     dense = labels.select("label_index")
     if keys:
-        # Labels times the few values of the keys; both sides are dimensions.
-        dense = matrix.select(*keys).distinct().withColumn("_1", F.lit(1)).join(dense.withColumn("_1", F.lit(1)), "_1").drop("_1")
+        indices = [r["label_index"] for r in dense.distinct().collect()]  # a dimension
+        every = F.explode(F.array(*map(F.lit, indices)) if indices else F.array().cast("array<int>"))
+        dense = matrix.select(*keys).distinct().select(*keys, every.alias("label_index"))
     return dense.join(said, [*keys, "label_index"], "left").fillna(0, list(sums))
 
 
