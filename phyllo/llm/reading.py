@@ -106,7 +106,7 @@ def measure(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         axis=1,
     )
     visible = np.maximum(sizes - blanks, 1)
-    prose = (counts >= 12) & (function >= 0.03) & (letters / visible >= 0.6) & (digits <= 0.2 * letters) & (kinds >= 8)
+    prose = (counts >= 12) & ((function >= 0.03) | (stops >= 3)) & (letters / visible >= 0.6) & (digits <= 0.2 * letters) & (kinds >= 8)
     return dense, prose, rows[:, 0], counts
 
 
