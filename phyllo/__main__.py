@@ -76,6 +76,7 @@ def run(args: argparse.Namespace) -> int:
 
     mapping, parts = labels.label_map(spark), []
     if args.folders:
+        args.folders = args.folders if "://" in args.folders else importers.picture_root(args.folders, list(labels.SOURCE_LABELS["plantvillage"]))
         leaf_map = importers.read_leaf_map(spark, args.leaf_map) if args.leaf_map else None
         parts.append(importers.import_folders(spark, args.folders, mapping, "plantvillage", leaf_map))
     if args.one_hot:

@@ -272,6 +272,9 @@ def oracle_sql() -> dict[str, str]:
     q["data_summary"] = f"""WITH {MANIFEST}, r AS (SELECT * FROM m WHERE split IS NOT NULL), {_grid('r')}
         SELECT f.split, (SELECT count(*) FROM r WHERE r.split = f.split) AS images, (SELECT count(DISTINCT group_id) FROM r WHERE r.split = f.split) AS groups,
         count(*) FILTER (n > 0) AS supported_classes, coalesce(string_agg(class_label, ',' ORDER BY class_label) FILTER (n = 0), '') AS missing_classes FROM filled f GROUP BY 1"""
+    q["file_receipts"] = "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL"
+    q["imports_over_time"] = f"""SELECT date_trunc('hour', imported_at) AS hour, source_dataset, count(*) AS n, count(*) FILTER ({_missing("sha256_pixels")} IS NULL) AS n_unreadable
+        FROM items WHERE imported_at IS NOT NULL GROUP BY ALL"""
     q["component_histogram"] = f"WITH {MANIFEST} SELECT group_id AS root, class_label, count(*) AS n FROM m WHERE group_id IS NOT NULL GROUP BY ALL"
     q["split_targets"] = f"""WITH {MANIFEST} SELECT class_label, s.split, round(count(*) * s.fraction::DOUBLE, 6) AS target
         FROM m, (VALUES ('train', 0.8), ('val', 0.1), ('test', 0.1)) s(split, fraction) GROUP BY class_label, s.split, s.fraction"""

@@ -71,6 +71,34 @@ def predict(model, rows: DataFrame, labels: DataFrame, top: int = 3) -> DataFram
     return out.join(labels.select("label_index", "class_label", display_name("class_label").alias("shown")), "label_index", "left")
 
 
+def write_run(spark: SparkSession, output: str, config: dict, manifest: str, history: DataFrame) -> dict:
+    """run_config.json with the SHA-256 of the manifest's files, and history.json."""
+    files = spark.read.format("binaryFile").load(manifest).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))
+    hashes = [r["h"] for r in files.select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()]  # one row per file of the manifest
+    record = {**config, "manifest_sha256": hashes}
+    tables.write_json(spark, f"{output}/run_config.json", record)
+    tables.write_json(spark, f"{output}/history.json", [r.asDict(True) for r in history.orderBy("epoch").collect()])
+    return record
+
+
+def read_run(spark: SparkSession, output: str) -> dict:
+    """What ``save_reports`` and ``write_run`` wrote; a missing part is an error."""
+    def parsed(name: str):
+        import json
+
+        return json.loads(spark.read.text(f"{output}/{name}", wholetext=True).first()[0])
+
+    per_class = spark.read.csv(f"{output}/per_class", header=True, schema="label_index int, class_label string, tree_type string, condition string, support long, precision double, recall double, f1 double")
+    wide = spark.read.csv(f"{output}/confusion_matrix", header=True)
+    names = [r["class_label"] for r in per_class.orderBy("label_index").collect()]  # a dimension
+    if wide.columns != ["true / predicted", *names]:
+        raise ValueError("the columns of the confusion matrix are not the labels in their order")
+    index = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, i)))
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("prediction"), F.col(f"`{n}`").cast("long").alias("n")) for i, n in enumerate(names))))
+    matrix = wide.select(F.element_at(index, F.col("true / predicted")).alias("target"), cells.alias("c")).select("target", "c.*")
+    return {"metrics": parsed("metrics.json"), "config": parsed("run_config.json"), "history": spark.createDataFrame(parsed("history.json")), "per_class": per_class, "confusion": matrix}
+
+
 def check_run(history: DataFrame, matrix: DataFrame, per_class: DataFrame, labels: DataFrame, checkpoint: DataFrame, summary_n: int) -> None:
     """All agreements between the artefacts of a training run."""
     checks.enforce("epochs count from 1", checks.bad_epochs(history))

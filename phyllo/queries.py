@@ -351,6 +351,22 @@ def receipt_totals(spark, sf_dir):
     return rows.groupBy("class_label", mode.alias("mode")).agg(F.count("*").alias("n_files"), F.sum(F.col("width").cast("long") * F.col("height")).alias("total"))
 
 
+@query
+def file_receipts(spark, sf_dir):
+    """H6, K6: digest and size of each file; the texts of documents stand for the files."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query
+def imports_over_time(spark, sf_dir):
+    """Imports per source and hour, as the stream counts them (an addition)."""
+    items = table(spark, sf_dir, "items").where("imported_at IS NOT NULL")
+    unreadable = F.count_if(X.missing_to_null("sha256_pixels").isNull())
+    hours = items.groupBy(F.window(F.col("imported_at").cast("timestamp"), "1 hour").alias("w"), "source_dataset").agg(F.count("*").alias("n"), unreadable.alias("n_unreadable"))
+    return hours.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "source_dataset", "n", "n_unreadable")
+
+
 @query
 def data_summary(spark, sf_dir):
     """A11."""

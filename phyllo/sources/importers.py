@@ -38,6 +38,30 @@ def read_leaf_map(spark: SparkSession, path: str) -> DataFrame:
     return pairs.select("photo_id", F.when(F.col("raw").startswith("["), listed).otherwise(F.array("raw")).alias("groups"))
 
 
+def picture_root(folder: str, known: list[str]) -> str:
+    """The folder that holds one folder per label: ``raw/color`` or ``color`` below the given one, or itself.
+
+    The first that exists and has a known label folder counts; grey or
+    segmented variants of the pictures are refused. For folders that the driver sees.
+    """
+    import os
+
+    for place in (os.path.join(folder, "raw", "color"), os.path.join(folder, "color"), folder):
+        if any(os.path.isdir(os.path.join(place, name)) for name in known):
+            if {p.lower() for p in os.path.abspath(place).split(os.sep)} & {"grayscale", "segmented"}:
+                break
+            return place
+    raise ValueError(f"{folder} does not hold the original colour pictures")
+
+
+def csv_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """Columns and number of nonempty data rows of each CSV file below a folder: ``path``, ``header``, ``n_rows``."""
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder, wholetext=True)
+    lines = F.filter(F.split(F.replace("value", F.lit("\ufeff"), F.lit("")), r"\r?\n"), lambda x: F.length(F.trim(F.replace(x, F.lit(","), F.lit("")))) > 0)
+    got = text.select(F.regexp_replace(F.input_file_name(), "^file:/*", "/").alias("path"), lines.alias("lines"))
+    return got.select("path", F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("header"), F.greatest(F.size("lines") - 1, F.lit(0)).alias("n_rows"))
+
+
 def import_folders(spark: SparkSession, root: str, mapping: DataFrame, source: str, leaf_map: DataFrame | None = None) -> DataFrame:
     """A source with one folder per label directly below ``root``; other folders are not read.
 

@@ -69,3 +69,17 @@ def test_head_on_fixed_features(spark):
     dim = spark.createDataFrame([(i, f"l_{i}") for i in range(3)], "label_index int, class_label string")
     top = evaluate.predict(model, df.limit(2), dim, 2)
     assert top.count() == 4 and {r.rank for r in top.collect()} == {0, 1}
+
+
+def test_a_run_is_written_and_read_back(spark, said, three, tmp_path):
+    out, manifest = f"{tmp_path}/run", f"{tmp_path}/manifest"
+    spark.createDataFrame([("x",)], "a string").coalesce(1).write.csv(manifest)
+    summary = evaluate.save_reports(spark, out, said, three)
+    history = spark.createDataFrame([(1, 0.4), (2, 0.6)], "epoch int, macro_f1 double")
+    evaluate.write_run(spark, out, {"seed": 42}, manifest, history)
+    run = evaluate.read_run(spark, out)
+    assert run["metrics"]["n"] == summary["n"] == 6 and run["metrics"]["missing_classes"] == ["z"] and len(run["config"]["manifest_sha256"]) == 1
+    best = spark.createDataFrame([(2, 0.6)], "epoch int, macro_f1 double")
+    evaluate.check_run(run["history"], run["confusion"], run["per_class"], three, best, run["metrics"]["n"])
+    with pytest.raises(FileExistsError):
+        evaluate.save_reports(spark, out, said, three)

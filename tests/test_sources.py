@@ -164,6 +164,19 @@ def test_folder_sources(spark, tmp_path):
     assert rows_of(got, "class_label", "official_group") == [("apple_healthy", "leaf 1")]
 
 
+def test_picture_root_and_csv_inventory(spark, tmp_path):
+    put(f"{tmp_path}/r/raw/color/Apple___healthy/a.jpg")
+    put(f"{tmp_path}/r/raw/segmented/Apple___healthy/a.jpg")
+    assert importers.picture_root(f"{tmp_path}/r", ["Apple___healthy"]) == f"{tmp_path}/r/raw/color"
+    assert importers.picture_root(f"{tmp_path}/r/raw/color", ["Apple___healthy"]) == f"{tmp_path}/r/raw/color"
+    for bad in (f"{tmp_path}/r/raw/segmented", str(tmp_path)):
+        with pytest.raises(ValueError):
+            importers.picture_root(bad, ["Apple___healthy"])
+    put(f"{tmp_path}/c/x/t.csv", "\ufeffid,v\r\n1,2\r\n,\r\n\r\n3,4".encode())
+    put(f"{tmp_path}/c/e.csv", b"\n")
+    assert rows_of(importers.csv_inventory(spark, f"{tmp_path}/c"), "header", "n_rows") == [("", 0), ("id,v", 2)]
+
+
 def test_limits_and_lists(spark, tmp_path):
     rows = spark.createDataFrame([(i, f"c{i % 3}", f"{i * 7 % 50:02}") for i in range(50)], "id long, c string, p string")
     got = importers.limit_per_category(rows, "c", "p", 2, "id").collect()
