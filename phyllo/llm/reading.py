@@ -33,12 +33,28 @@ FUNCTION_WORDS = {
 _KNOWN = {lang: frozenset(words.split()) for lang, words in FUNCTION_WORDS.items()}
 _ANY = frozenset().union(*_KNOWN.values())
 
-_TAG = re.compile(r"<[^<>]{1,200}>|https?://\S+|\[\d\d?:\d\d(?::\d\d)?\]|^\s*[|#>*•-]+|^\s*\(?[ivx\d]{1,4}\)", re.M)
+# Each pattern begins with a literal, which the search then jumps to.
+_TAG = re.compile(r"<[^<>]{1,200}>")
+_LINK = re.compile(r"https?://\S+")
+_CLOCK = re.compile(r"\[\d\d?:\d\d(?::\d\d)?\]")
+_BULLET = re.compile(r"\n\s*(?:[|#>*•-]+|\(?[ivx\d]{1,4}\))")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_ZERO = re.compile(r"(?<=[^\W\d_])0|0(?=[^\W\d_])")
+_ZERO = re.compile(r"0(?:(?<=[^\W\d_]0)|(?=[^\W\d_]))")
 _STOP = re.compile(r"[.!?…]+|\n\s*\n|;\s*\n")
 
 
+def plain(text: str | None) -> str:
+    """Lower case without markup, links, time marks, bullets and zeros that stand for the letter o."""
+    if not text:
+        return ""
+    if "&" in text:
+        text = html.unescape(text)
+    for mark, pattern in (("<", _TAG), ("http", _LINK), ("[", _CLOCK)):
+        if mark in text:
+            text = pattern.sub(" ", text)
+    return _ZERO.sub("o", _BULLET.sub("\n", "\n" + text)).lower()
+
+
 class Words:
     """Bucket, length and function-word mark of each word, kept per worker."""
 
@@ -72,7 +88,7 @@ def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def measure(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Dense features and the prose mark of each text, and the bucket of each of its words with their counts."""
-    cleaned = [_ZERO.sub("o", _TAG.sub(" ", html.unescape(t) if "&" in t else t)).lower() if t else "" for t in texts]
+    cleaned = [plain(t) for t in texts]
     words = [_WORD.findall(t) for t in cleaned]
     rows, counts = _words.look_up(words)
     n = np.maximum(counts, 1)
