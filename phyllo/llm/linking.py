@@ -78,7 +78,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
     return out
 
 
-def resolve_ends(pairs: DataFrame, items: DataFrame) -> DataFrame:
+def resolve_ends(pairs: DataFrame, items: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """Links between records: ``a`` and ``b`` are item ids that exist.
 
     An end is its id or, where that is null, its path; the path must name a
@@ -86,6 +86,7 @@ def resolve_ends(pairs: DataFrame, items: DataFrame) -> DataFrame:
     smallest such id counts). Pairs with an end that is no record are dropped.
     Columns other than the six that are read may be present under any name.
     """
+    scratch = scratch or Scratch(pairs.sparkSession, "ends")
     p = pairs.select(
         F.col("item_id_a").alias("a"),
         F.col("item_id_b").alias("b"),
@@ -97,7 +98,8 @@ def resolve_ends(pairs: DataFrame, items: DataFrame) -> DataFrame:
     partial = p.where("a IS NULL OR b IS NULL").distinct()
     known = items.select("item_id", missing_to_null("image_path").alias("path")).where("item_id IS NOT NULL")
     said = partial.select(F.explode(F.array("path_a", "path_b")).alias("said")).where("said IS NOT NULL").distinct()
-    found = (
+    # Both ends read this table and the ids below, so they are written once instead of read from the items again.
+    found = scratch.save(
         said.withColumn("key", spelled("said"))
         .join(known.where("path IS NOT NULL").withColumn("key", spelled("path")), "key")
         .groupBy("said")
@@ -108,7 +110,7 @@ def resolve_ends(pairs: DataFrame, items: DataFrame) -> DataFrame:
         partial = partial.where(f"{end} IS NOT NULL").unionByName(named)
     out = whole.unionByName(partial.select("a", "b")).where("a <> b")
     out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    ids = known.select("item_id").distinct()
+    ids = scratch.save(known.select("item_id").distinct())
     for end in "ab":
         out = out.join(ids.select(F.col("item_id").alias(end)), end, "left_semi")
     return out
@@ -116,5 +118,6 @@ def resolve_ends(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def linked_groups(spark: SparkSession, pairs: DataFrame, items: DataFrame) -> DataFrame:
     """Group of each linked item: ``item_id`` and ``group_item_id``, the smallest id of its group."""
-    out = components(spark, resolve_ends(pairs, items))
+    scratch = Scratch(spark, "linking")
+    out = components(spark, resolve_ends(pairs, items, scratch), scratch)
     return out.select(F.col("node").alias("item_id"), F.col("root").alias("group_item_id"))
