@@ -112,8 +112,3 @@ def split_word(c: Column | str) -> Column:
     for said, name in SPLIT_WORDS.items():
         out = F.when(word == said, F.lit(name)).otherwise(out)
     return out
-
-
-def digest_key(parts: Column, prefix: str) -> Column:
-    """``prefix`` and the first 16 hex digits of the SHA-256 of the sorted parts, one a line."""
-    return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\n", F.array_sort(parts)), 256), 1, 16))

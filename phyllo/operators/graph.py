@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import digest_key
 from ..session import Scratch
 
 
@@ -81,6 +80,3 @@ def group_digests(members: DataFrame, prefix: str) -> DataFrame:
     to_arrow = {T.LongType(): pa.int64(), T.IntegerType(): pa.int32(), T.StringType(): pa.string()}[kind]
     ordered = members.select("root", "member").where("member IS NOT NULL").repartition("root").sortWithinPartitions("root", "member")
     return ordered.mapInArrow(run, T.StructType([T.StructField("root", kind), T.StructField("name", T.StringType())]))
-
-
-__all__ = ["components", "digest_key", "group_digests"]

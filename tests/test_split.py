@@ -25,7 +25,7 @@ def test_train_only_source_and_rare_labels(spark):
     assert set(got[f"g{i}"] for i in range(6)) == {"train", "val", "test"}
 
 
-def reference_style(components, totals, seed):
+def second_version(components, totals, seed):
     """The placing, written once more with plain lists."""
     import random
 
@@ -61,7 +61,7 @@ def test_greedy_equals_a_second_version():
         totals = Counter()
         for _, bag, _ in parts:
             totals.update(bag)
-        assert dict(split.greedy(parts, totals, seed)) == reference_style(parts, totals, seed)
+        assert dict(split.greedy(parts, totals, seed)) == second_version(parts, totals, seed)
 
 
 def test_grid_has_zeros(spark):
