@@ -3,11 +3,13 @@
 Vertical partitioning over the n-grams of file names: the n-grams get one
 global order from rare to frequent, the order is cut into fragments, each
 fragment counts the overlaps of the records that meet in it by itself, and the
-partial counts are summed per pair. A record meets others in the fragments of
-its rarest n-grams only; a small edit touches at most three n-grams, so two
-forms of one name still share one of them. Inside a fragment only records whose
-hashes are close meet. The full overlap, over all fragments and weighted by
-rarity, and an edit check on what the names do not share decide about a pair.
+partial counts are summed per pair. Two forms of one name share n-grams that
+weigh at least a given part of the lighter one, so the rarest n-gram that they
+share is among those with which the lighter one still reaches that weight: it
+looks for others there, and the heavier one can be found there. Inside a
+fragment only records whose hashes are close meet. The full overlap, over all
+fragments and weighted by rarity, and an edit check on what the names do not
+share decide about a pair.
 """
 
 from __future__ import annotations
@@ -69,38 +71,79 @@ def gram_codes(cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return keys >> 16, keys & 0xFFFF
 
 
-def gram_frequencies(named: DataFrame) -> np.ndarray:
-    """In how many rows each n-gram stands. The table has CODES entries, whatever the number of rows."""
+def item_cores(named: DataFrame) -> DataFrame:
+    """One ``core`` for each item that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("item_id"), name_cores(batch.column("image_path"))], names=["item_id", "core"])
+
+    paths = named.groupBy("item_id").agg(F.min("image_path").alias("image_path"))
+    return paths.mapInArrow(run, "item_id long, core string").where("core IS NOT NULL")
+
+
+def gram_frequencies(cores: DataFrame) -> np.ndarray:
+    """In how many items each n-gram stands. The table has CODES entries, whatever the number of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(CODES, np.int64)
         for batch in batches:
-            counts += np.bincount(gram_codes(name_cores(batch.column(0)))[1], minlength=CODES)
+            counts += np.bincount(gram_codes(batch.column(0))[1], minlength=CODES)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["code", "n"])
 
-    summed = named.select("image_path").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    summed = cores.select("core").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(CODES, np.int64)
     for code, n in summed.collect():  # at most CODES rows
         out[code] = n
     return out
 
 
-def _signatures(order: np.ndarray, frequency: np.ndarray, prefix: int, hot: int):
-    """Rows for the fragments: the rarest n-grams of each name that other names share."""
+def _ranked(cores: pa.Array, order: np.ndarray, frequency: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Shared n-grams of each core from rare to frequent: row, code, weight from it on, weight of the whole core."""
+    rows, codes = gram_codes(cores)
+    whole = np.bincount(rows, weight[codes], minlength=len(cores))
+    shared = frequency[codes] > 1
+    rows, codes = rows[shared], codes[shared]
+    place = np.lexsort((order[codes], rows))
+    rows, codes = rows[place], codes[place]
+    ends = np.concatenate([[0.0], np.cumsum(weight[codes])])
+    rest = ends[np.searchsorted(rows, rows, "right")] - ends[:-1]
+    return rows, codes, rest + 1e-3, whole[rows]  # more than all rounding
+
+
+def lightest_seekers(cores: DataFrame, order: np.ndarray, frequency: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """Weight of the lightest core that looks for others at each n-gram, infinite if none does."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(CODES, np.inf)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 20_000):
+                _, codes, rest, total = _ranked(whole.column(0).slice(begin, 20_000), order, frequency, weight)
+                seeks = rest >= similarity * total
+                np.minimum.at(least, codes[seeks], total[seeks])
+        at = np.flatnonzero(np.isfinite(least))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at])], names=["code", "least"])
+
+    out = np.full(CODES, np.inf)
+    for code, least in cores.select("core").mapInArrow(run, "code long, least double").groupBy("code").agg(F.min("least")).collect():  # at most CODES rows
+        out[code] = least
+    return out
+
+
+def _signatures(order: np.ndarray, frequency: np.ndarray, weight: np.ndarray, least: np.ndarray, similarity: float, hot: int):
+    """Rows for the fragments. The last bit of ``gram`` is set where the name looks for
+    others, as long as the n-grams from there on reach ``similarity`` of its weight. At the
+    others it only waits for lighter names that look there, if these can share enough with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(begin, 20_000)
-                rows, codes = gram_codes(name_cores(batch.column("image_path")))
-                shared = frequency[codes] > 1
-                rows, codes = rows[shared], codes[shared]
-                place = np.lexsort((order[codes], rows))
-                rows, codes = rows[place], codes[place]
-                first = np.searchsorted(rows, rows)
-                keep = np.arange(len(rows)) - first < prefix
-                rows, codes = rows[keep], codes[keep]
+                rows, codes, rest, total = _ranked(name_cores(batch.column("image_path")), order, frequency, weight)
+                seeks = rest >= similarity * total
+                keep = seeks | (rest >= similarity * least[codes])
+                rows, codes, seeks = rows[keep], codes[keep], seeks[keep].astype(np.int64)
                 lists = batch.column("hashes")
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 ends = np.cumsum(np.asarray(lists.value_lengths()))
@@ -109,26 +152,27 @@ def _signatures(order: np.ndarray, frequency: np.ndarray, prefix: int, hot: int)
                 many = frequency[codes] > hot
                 if many.any():
                     # A hot n-gram is divided by the parts of the hashes; a record enters once for each.
-                    r, g = rows[many], codes[many]
+                    r, g = rows[many], codes[many] << 1 | seeks[many]
                     lengths = (ends - begins)[r]
                     at = np.repeat(begins[r] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
                     r, g = np.repeat(r, lengths), np.repeat(g, lengths)
                     h = flat[at].view(np.uint64)
                     parts = [(h >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) | (b + 1) << 13 for b, (s, w) in enumerate(BANDS)]
                     extra = np.unique(np.stack([np.tile(r, 5), np.tile(g, 5), np.concatenate(parts)]), axis=1)
-                    rows, codes, sub = np.concatenate([rows[~many], extra[0]]), np.concatenate([codes[~many], extra[1]]), np.concatenate([sub[~many], extra[2]])
+                    rows, codes, seeks, sub = (np.concatenate([x[~many], y]) for x, y in ((rows, extra[0]), (codes, extra[1] >> 1), (seeks, extra[1] & 1), (sub, extra[2])))
                 packed = pa.array([flat[b:e].tobytes() for b, e in zip(begins.tolist(), ends.tolist())], pa.binary())
                 picked = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((order[codes] << 17 | sub).astype(np.int64)), batch.column("item_id").take(picked), packed.take(picked)], names=["gram", "item_id", "hashes"]
+                    [pa.array((order[codes] << 17 | sub) << 1 | seeks), batch.column("item_id").take(picked), packed.take(picked)], names=["gram", "item_id", "hashes"]
                 )
 
     return run
 
 
-def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 2_000_000, small: int = 32, groups: int = 512, step: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 2_000_000, small: int = 32, groups: int = 512, step: int = 100_000, seeks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of one group where some hash of one lies within ``radius`` of the first hash of the other.
 
+    Where ``seeks`` is given, it is true for one row of each pair at least.
     The rows are sorted by ``group``. Groups of up to ``small`` rows are compared
     as they are; in larger ones equal parts of the hashes lead to the candidates,
     through tables for ``groups`` groups at a time. Rows are taken in steps of
@@ -138,12 +182,14 @@ def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: n
     n = len(group)
     if not n:
         return
+    seeks = np.ones(n, bool) if seeks is None else seeks
     starts = np.cumsum(lengths) - lengths
     first = flat[starts]
     new = np.concatenate([[True], np.diff(group) != 0])
     number = (np.cumsum(new) - 1).astype(np.int32)
     begin = np.flatnonzero(new)
     size = np.diff(np.concatenate([begin, [n]]))
+    sought = np.logical_or.reduceat(seeks, begin)
 
     def turns(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all hashes of the rows, and whose they are."""
@@ -160,17 +206,17 @@ def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: n
             right = right if rows is None else rows[right]
             near = np.flatnonzero(np.bitwise_count(np.repeat(flat[at[i:stop]], c) ^ first[right]) <= radius)
             left, right = np.repeat(owner[i:stop], c)[near], right[near]
-            other = ids[left] != ids[right]
+            other = (ids[left] != ids[right]) & (seeks[left] | seeks[right])
             if other.any():
                 yield left[other], right[other]
             i = stop
 
-    few = np.flatnonzero(((size <= small) & (size > 1))[number])
+    few = np.flatnonzero(((size <= small) & (size > 1) & sought)[number])
     for k in range(0, len(few), step):
         at, owner = turns(few[k : k + step])
         yield from expand(at, owner, begin[number[owner]], size[number[owner]], None)
 
-    many = np.flatnonzero(size > small)
+    many = np.flatnonzero((size > small) & sought)
     for k in range(0, len(many), groups):
         part = many[k : k + groups]
         place_of = np.full(len(size), -1, np.int64)
@@ -179,14 +225,15 @@ def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: n
         for shift, width in BANDS:
             mask = np.uint64((1 << width) - 1)
             canon = place_of[number[rows]] << width | (first[rows] >> np.uint64(shift) & mask).astype(np.int64)
+            canon = canon << 1 | ~seeks[rows]  # those that seek come first: the others look up only these
             place = rows[np.argsort(canon, kind="stable")]
-            ends = np.zeros((len(part) << width) + 1, np.int32)
-            np.cumsum(np.bincount(canon, minlength=len(part) << width), out=ends[1:])
+            ends = np.zeros((len(part) << width + 1) + 1, np.int32)
+            np.cumsum(np.bincount(canon, minlength=len(part) << width + 1), out=ends[1:])
             for r in range(0, len(rows), step):
                 at, owner = turns(rows[r : r + step])
-                wanted = place_of[number[owner]] << width | (flat[at] >> np.uint64(shift) & mask).astype(np.int64)
+                wanted = (place_of[number[owner]] << width | (flat[at] >> np.uint64(shift) & mask).astype(np.int64)) << 1
                 low = ends[wanted].astype(np.int64)
-                counts = ends[wanted + 1] - low
+                counts = ends[wanted + 1 + seeks[owner]] - low
                 hit = np.flatnonzero(counts)
                 # A row that only meets itself, through its first hash, is no candidate.
                 hit = hit[(counts[hit] > 1) | (place[low[hit]] != owner[hit])]
@@ -201,7 +248,7 @@ def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
         size = 0
 
         def match(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            gram = t["gram"].to_numpy()
+            gram, seeks = t["gram"].to_numpy() >> 1, (t["gram"].to_numpy() & 1).astype(bool)
             ids = t["item_id"].to_numpy()
             blob = t["hashes"].combine_chunks() if isinstance(t["hashes"], pa.ChunkedArray) else t["hashes"]
             offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
@@ -211,7 +258,7 @@ def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
             found = np.empty(0, np.int64)
             parts: list[np.ndarray] = []
             held_pairs = 0
-            for left, right in close_pairs(gram, ids, flat, lengths, radius):
+            for left, right in close_pairs(gram, ids, flat, lengths, radius, seeks=seeks):
                 parts.append(np.minimum(left, right) * n + np.maximum(left, right))
                 held_pairs += len(left)
                 if held_pairs > 1_000_000:
@@ -233,7 +280,7 @@ def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
             size += batch.num_rows
             if size >= rows:
                 t = pa.concat_tables(held).combine_chunks()
-                gram = t["gram"].to_numpy()
+                gram = t["gram"].to_numpy() >> 1
                 cut_at = int(np.searchsorted(gram, gram[-1]))  # the last n-gram may go on
                 if cut_at:
                     yield from match(t.slice(0, cut_at))
@@ -294,7 +341,7 @@ def edited_form(a: str, b: str, weight: np.ndarray, similarity: float) -> bool:
     return osa(ra, rb, most := 2 if min(len(ra), len(rb)) >= 8 else 1) <= most
 
 
-def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, prefix: int = 6, similarity: float = 0.35, hot: int = 2_000_000) -> DataFrame:
+def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, similarity: float = 0.35, hot: int = 2_000_000) -> DataFrame:
     """Pairs of items (``a`` < ``b``) with close hashes and file names of which one is an edited form of the other.
 
     Items without hashes or without a name take no part. An n-gram of more than
@@ -307,25 +354,25 @@ def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, prefix: i
     named = items.select(
         "item_id", base_name(missing_to_null("image_path")).alias("image_path"), F.filter("hashes", lambda h: h.isNotNull()).alias("hashes")
     ).where("item_id IS NOT NULL AND image_path IS NOT NULL AND size(hashes) > 0")
-    frequency = gram_frequencies(named)
+    cores = Scratch(spark, "cores").save(item_cores(named))
+    frequency = gram_frequencies(cores)
     order = np.empty(CODES, np.int64)
     order[np.lexsort((np.arange(CODES), frequency))] = np.arange(CODES)
-    keyed = named.mapInArrow(_signatures(order, frequency, prefix, hot), "gram long, item_id long, hashes binary")
-    met = keyed.repartition("gram").sortWithinPartitions("gram").mapInArrow(_fragment_overlaps(radius, CODES), "a long, b long, fragment long, n long")
-    pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    paths = named.groupBy("item_id").agg(F.min("image_path").alias("path"))
-    for end in "ab":
-        pairs = pairs.join(paths.select(F.col("item_id").alias(end), F.col("path").alias(f"path_{end}")), end)
     rows = max(1, int(frequency.max()))
     weight = np.log1p(rows / np.maximum(frequency, 1))
+    least = lightest_seekers(cores, order, frequency, weight, similarity)
+    keyed = named.mapInArrow(_signatures(order, frequency, weight, least, similarity, hot), "gram long, item_id long, hashes binary")
+    met = keyed.repartition(F.shiftright("gram", 1)).sortWithinPartitions("gram").mapInArrow(_fragment_overlaps(radius, CODES), "a long, b long, fragment long, n long")
+    pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    for end in "ab":
+        pairs = pairs.join(cores.select(F.col("item_id").alias(end), F.col("core").alias(f"core_{end}")), end)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cores = [name_cores(batch.column(f"path_{end}")).to_pylist() for end in "ab"]
-            keep = [bool(x and y) and edited_form(x, y, weight, similarity) for x, y in zip(*cores)]
+            keep = [edited_form(x, y, weight, similarity) for x, y in zip(*(batch.column(f"core_{end}").to_pylist() for end in "ab"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "path_a", "path_b").mapInArrow(decide, "a long, b long")
+    return pairs.select("a", "b", "core_a", "core_b").mapInArrow(decide, "a long, b long")
 
 
 def equal_pixels(items: DataFrame) -> DataFrame:

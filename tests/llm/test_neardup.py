@@ -118,3 +118,43 @@ def test_equal_pixels_and_empty_tables(spark, make_items):
     assert N.photographs(spark, items.limit(0)).count() == 0
     with pytest.raises(ValueError):
         N.near_pairs(spark, items, radius=5)
+
+
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_candidates_equal_all_close_pairs(spark, make_items, hot):
+    """Inserted words that EDIT_WORDS has not may have more rare n-grams than the rest of the name."""
+    rng = random.Random(7)
+    rows = []
+    for f in range(25):
+        hashes = [signed(rng.getrandbits(64)) for _ in range(8)]
+        number, word, other = f"{rng.randrange(10**5):05}", *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(2))
+        names = [f"dsc_{number}", f"{word}_dsc_{number}", f"dsc_{number[:2]}{number[3:]}", f"{other}-{word} dsc {number[::-1]}", f"dsc_{number[1]}{number[0]}{number[2:]}_{other}", word]
+        rows += [{"hashes": [hashes[k % 2], *hashes[1:]], "name": f"{len(rows) + k}/{name}.jpg"} for k, name in enumerate(names)]
+        far = [f"{word} {rng.getrandbits(30)}", f"{other} {rng.getrandbits(30)}", *(f"{number} {rng.choice('abcdef')}{k}" for k in range(3))]
+        rows += [{"hashes": [signed(rng.getrandbits(64)) for _ in range(8)], "name": f"{len(rows) + k}/{name}.png"} for k, name in enumerate(far)]
+    items = make_items(*rows)
+    cores = N.name_cores(pa.array([r["name"] for r in rows])).to_pylist()
+    frequency = np.bincount(N.gram_codes(pa.array(cores))[1], minlength=N.CODES)
+    weight = np.log1p(frequency.max() / np.maximum(frequency, 1))
+
+    def close(i, j):
+        return any(bin((h ^ rows[y]["hashes"][0]) & (1 << 64) - 1).count("1") <= 4 for x, y in ((i, j), (j, i)) for h in rows[x]["hashes"])
+
+    want = {(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if close(i, j) and N.edited_form(cores[i], cores[j], weight, 0.35)}
+    assert len(want) > 100 and rows_of(N.near_pairs(spark, items.union(items), hot=hot), "a", "b") == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rows_that_do_not_seek_meet_only_those_that_do(seed):
+    rng = np.random.default_rng(seed)
+    n, k = 200, 3
+    flat = rng.choice(rng.integers(0, 2**63, 9), n * k).astype(np.uint64)
+    group, seeks = np.sort(rng.integers(0, 4, n)), rng.random(n) < 0.3
+    seeks[group == 2] = False
+    lengths = np.full(n, k)
+
+    def found(small, seeks=None):
+        return {(min(x), max(x)) for left, right in N.close_pairs(group, np.arange(n), flat, lengths, 4, most=37, small=small, groups=2, step=40, seeks=seeks) for x in zip(left.tolist(), right.tolist())}
+
+    want = {(i, j) for i, j in found(n) if seeks[i] or seeks[j]}
+    assert want and found(1, seeks) == found(n, seeks) == want
