@@ -116,9 +116,16 @@ def split_overlaps(spark: SparkSession, items: DataFrame, manifest: DataFrame) -
 
 
 def overlap_report(pairs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Per evaluation split and source: items of the split that a pair links to train, and such pairs."""
+    """Per evaluation split and source: items of the split whose photograph stands in train, those of them
+    that stand in train by their own rows, and pairs that link the split to train.
+
+    An item whose own rows name both splits makes no pair; it counts with or without a copy.
+    """
     rows = manifest.select("item_id", split_word("split").alias("split"), spelled("source_dataset").alias("source_dataset")).where("item_id IS NOT NULL AND split IS NOT NULL").distinct()
     ends = pairs.select(F.explode(F.array(F.struct(F.col("item_id_a").alias("item_id"), F.col("item_id_b").alias("other")), F.struct(F.col("item_id_b").alias("item_id"), F.col("item_id_a").alias("other")))).alias("e")).select("e.*")
     trained = rows.where("split = 'train'").select(F.col("item_id").alias("other")).distinct()
-    found = ends.join(trained, "other").join(rows.where("split <> 'train'"), "item_id")
-    return found.groupBy("split", "source_dataset").agg(F.count_distinct("item_id").alias("n_items"), F.count_distinct("item_id", "other").alias("n_pairs"))
+    own = trained.select(F.col("other").alias("item_id"), F.lit(None).cast("long").alias("other"))
+    found = ends.join(trained, "other").select("item_id", "other").unionByName(own).join(rows.where("split <> 'train'"), "item_id")
+    return found.groupBy("split", "source_dataset").agg(
+        F.count_distinct("item_id").alias("n_items"), F.count_distinct(F.when(F.col("other").isNull(), F.col("item_id"))).alias("n_own"), F.count_distinct("item_id", "other").alias("n_pairs")
+    )

@@ -41,6 +41,16 @@ def test_pairs_across_splits(spark, make_items):
     assert O.split_overlaps(spark, items, manifest.limit(0)).count() == 0
 
 
+def test_report_counts_items_whose_own_rows_stand_in_both_splits(spark, make_items):
+    items = make_items({"sha": "x"}, {"sha": "x"}, {"sha": "y"}, {"sha": "z"}, {"sha": "w"})
+    m = [(0, "train"), (1, "val"), (1, "train"), (2, "Train"), (2, " VAL"), (2, "test"), (3, "train"), (3, "odd"), (4, "val"), (None, "train"), (None, "val")]
+    manifest = spark.createDataFrame([(i, s, "src") for i, s in m] * 2, "item_id long, split string, source_dataset string")
+    pairs = O.split_overlaps(spark, items, manifest)
+    assert rows_of(pairs) == [(0, 1)]
+    report = {(r.split, r.source_dataset): (r.n_items, r.n_own, r.n_pairs) for r in O.overlap_report(pairs, manifest).collect()}
+    assert report == {("val", "src"): (2, 2, 1), ("test", "src"): (1, 1, 0)}
+
+
 def test_a_text_that_many_records_share(spark):
     records = [(i, "q" * 70, 1 + i % 2) for i in range(900)] + [(i, f"{i:070}", 1) for i in range(900, 950)]
     found = O.shared_spans(spark.createDataFrame(records, REC).repartition(8), 64)
