@@ -167,6 +167,9 @@ HISTORY = """hist AS (
     SELECT year(found_at) * 12 + month(found_at) - 2022 * 12 AS epoch, round(avg((label_a = label_b)::INT::DOUBLE), 2) AS macro_f1
     FROM match_pairs WHERE found_at IS NOT NULL GROUP BY 1)"""
 
+#: Every row of the manifest, split words and groups in canonical spelling.
+WRITTEN = f"w AS (SELECT * REPLACE ({_SPLIT} AS split, {_spelled('group_id')} AS group_id) FROM manifest)"
+
 TOLD = "told AS (SELECT DISTINCT * EXCLUDE (written_at) FROM manifest)"
 
 
@@ -334,4 +337,14 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'splits_filled', 3 - count(DISTINCT split) FROM m
         UNION ALL SELECT 'labels_in_train', count(*) FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM m WHERE split = 'train' AND class_label IS NOT NULL)
         UNION ALL SELECT 'file_exists', count(*) FROM m WHERE image_path IS NULL OR image_path NOT IN (SELECT image_path FROM items WHERE image_path IS NOT NULL)"""
+    q["manifest_violations_all_rows"] = f"""WITH {WRITTEN}
+        SELECT 'split_known' AS "constraint", count(*) AS violations FROM w WHERE split IS NULL
+        UNION ALL SELECT 'class_known', count(*) FROM w WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels)
+        UNION ALL SELECT 'label_parts', count(*) FROM w JOIN class_labels c USING (class_label) WHERE w.tree_type IS DISTINCT FROM c.tree_type OR w.condition IS DISTINCT FROM c.condition
+        UNION ALL SELECT 'group_and_source', count(*) FROM w WHERE group_id IS NULL OR coalesce(source_dataset, '') = ''
+        UNION ALL SELECT 'group_in_one_split', count(*) FROM (SELECT group_id FROM w WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)
+        UNION ALL SELECT 'path_unique', count(*) FROM (SELECT image_path FROM w GROUP BY 1 HAVING count(*) > 1)
+        UNION ALL SELECT 'splits_filled', 3 - count(DISTINCT split) FROM w
+        UNION ALL SELECT 'labels_in_train', count(*) FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM w WHERE split = 'train' AND class_label IS NOT NULL)
+        UNION ALL SELECT 'file_exists', count(*) FROM w WHERE image_path IS NULL OR image_path NOT IN (SELECT image_path FROM items WHERE image_path IS NOT NULL)"""
     return q

@@ -44,6 +44,11 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("item_id").agg(F.max(F.struct("written_at", told.alias("r")))["r"].alias("r")).select("item_id", "r.*")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the manifest, with split words and groups in canonical spelling."""
+    return table(spark, sf_dir, "manifest").withColumns({"split": X.split_word("split"), "group_id": X.spelled("group_id")})
+
+
 # Scans, projections and scalar functions
 
 
@@ -626,5 +631,11 @@ def support_disagrees(spark, sf_dir):
 
 @query
 def manifest_violations(spark, sf_dir):
-    """V1 to V9 in one table."""
+    """V1 to V9 in one table, on the latest row of each item."""
     return checks.manifest_violations(_manifest(spark, sf_dir), _labels(spark, sf_dir), spark, table(spark, sf_dir, "items"))
+
+
+@query
+def manifest_violations_all_rows(spark, sf_dir):
+    """V1 to V9 in one table, on every row of the manifest."""
+    return checks.manifest_violations(_written(spark, sf_dir), _labels(spark, sf_dir), spark, table(spark, sf_dir, "items"))
