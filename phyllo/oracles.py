@@ -347,4 +347,9 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'splits_filled', 3 - count(DISTINCT split) FROM w
         UNION ALL SELECT 'labels_in_train', count(*) FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM w WHERE split = 'train' AND class_label IS NOT NULL)
         UNION ALL SELECT 'file_exists', count(*) FROM w WHERE image_path IS NULL OR image_path NOT IN (SELECT image_path FROM items WHERE image_path IS NOT NULL)"""
+    q["missing_classes_all_rows"] = f"""WITH {WRITTEN}
+        SELECT 'all' AS scope, class_label FROM class_labels c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label)
+        UNION ALL SELECT s.split, c.class_label FROM class_labels c, (VALUES ('train'), ('val'), ('test')) s(split)
+        WHERE EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label) AND NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = s.split)"""
+    q["unknown_labels_all_rows"] = "SELECT class_label, count(*) AS n FROM manifest WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels) GROUP BY 1"
     return q

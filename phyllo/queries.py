@@ -274,11 +274,17 @@ def groups_by_split(spark, sf_dir):
 
 @query
 def missing_classes(spark, sf_dir):
-    """A3, V10."""
+    """A3, V10, without rows of some labels and rows without a group."""
     rows = _manifest(spark, sf_dir).where("group_id IS NOT NULL AND class_label <> 'apple_multiple_diseases' AND (split <> 'test' OR tree_type <> 'cherry')")
     return checks.missing_classes(rows, _labels(spark, sf_dir))
 
 
+@query
+def missing_classes_all_rows(spark, sf_dir):
+    """A3, V10, on every row of the manifest."""
+    return checks.missing_classes(_written(spark, sf_dir), _labels(spark, sf_dir))
+
+
 @query
 def duplicate_stats(spark, sf_dir):
     """A4."""
@@ -559,6 +565,12 @@ def unknown_labels(spark, sf_dir):
     return checks.unknown_labels(_told(spark, sf_dir), labels).groupBy("class_label").agg(F.count("*").alias("n"))
 
 
+@query
+def unknown_labels_all_rows(spark, sf_dir):
+    """V2, on every row of the manifest against all labels."""
+    return checks.unknown_labels(_written(spark, sf_dir), _labels(spark, sf_dir)).groupBy("class_label").agg(F.count("*").alias("n"))
+
+
 @query
 def label_parts_disagree(spark, sf_dir):
     """V3, with the items' parts against the labels that the older run's pairs give them."""

@@ -32,3 +32,15 @@ def test_violations_of_all_rows(spark, tables):
     assert found == {
         "split_known": 1, "class_known": 1, "label_parts": 0, "group_and_source": 1, "group_in_one_split": 1, "path_unique": 1, "splits_filled": 0, "labels_in_train": 17, "file_exists": 1,
     }
+
+
+def test_missing_classes_and_unknown_labels_of_all_rows(spark, tables):
+    d = tables(
+        (1, "/1", "apple_multiple_diseases", None, "train"), (1, "/1", "apple_multiple_diseases", None, "VAL"), (2, "/2", "cherry_healthy", "", "test"),
+        (None, "/3", "pear_scab", "g", "train"), (3, "/3", "pear_scab", "g", None), (4, "/4", None, "g", "train"), (5, "/5", "orange_citrus_greening", "g", "test"),
+    )
+    found = rows_of(Q.missing_classes_all_rows(spark, d), "scope", "class_label")
+    seen = {"apple_multiple_diseases": {"train", "val"}, "cherry_healthy": {"test"}, "orange_citrus_greening": {"test"}}
+    want = [("all", c) for c in CLASSES if c not in seen] + [(s, c) for c, there in seen.items() for s in {"train", "val", "test"} - there]
+    assert found == sorted(want, key=str)
+    assert rows_of(Q.unknown_labels_all_rows(spark, d), "class_label", "n") == [("pear_scab", 2), (None, 1)]
