@@ -352,4 +352,6 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT s.split, c.class_label FROM class_labels c, (VALUES ('train'), ('val'), ('test')) s(split)
         WHERE EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label) AND NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = s.split)"""
     q["unknown_labels_all_rows"] = "SELECT class_label, count(*) AS n FROM manifest WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels) GROUP BY 1"
+    q["empty_splits_all_rows"] = f"WITH {WRITTEN} SELECT s.split FROM (VALUES ('train'), ('val'), ('test')) s(split) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.split = s.split)"
+    q["labels_without_training_all_rows"] = f"WITH {WRITTEN} SELECT class_label FROM class_labels c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = 'train')"
     return q

@@ -603,12 +603,24 @@ def empty_splits(spark, sf_dir):
     return checks.empty_splits(_manifest(spark, sf_dir).where("class_label = 'cherry_healthy' AND split <> 'val'"), spark)
 
 
+@query
+def empty_splits_all_rows(spark, sf_dir):
+    """V8, on every row of the manifest."""
+    return checks.empty_splits(_written(spark, sf_dir), spark)
+
+
 @query
 def labels_without_training(spark, sf_dir):
     """V9, among the rows of one source."""
     return checks.labels_without_rows(_manifest(spark, sf_dir).where("source_dataset = 'cornell'"), _labels(spark, sf_dir), "train")
 
 
+@query
+def labels_without_training_all_rows(spark, sf_dir):
+    """V9, on every row of the manifest."""
+    return checks.labels_without_rows(_written(spark, sf_dir), _labels(spark, sf_dir), "train")
+
+
 @query
 def one_hot_violations(spark, sf_dir):
     """One-hot rows made of the items, whose labels and ids are partly wrong for the table."""

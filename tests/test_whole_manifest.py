@@ -44,3 +44,9 @@ def test_missing_classes_and_unknown_labels_of_all_rows(spark, tables):
     want = [("all", c) for c in CLASSES if c not in seen] + [(s, c) for c, there in seen.items() for s in {"train", "val", "test"} - there]
     assert found == sorted(want, key=str)
     assert rows_of(Q.unknown_labels_all_rows(spark, d), "class_label", "n") == [("pear_scab", 2), (None, 1)]
+
+
+def test_empty_splits_and_labels_without_training_of_all_rows(spark, tables):
+    d = tables((1, "/1", "apple_scab", "g", "VAL"), (1, "/1", "apple_scab", "g", "training"), (2, "/2", "cherry_healthy", None, "valid"), (None, "/3", "apple_healthy", "g", "train"), (4, "/4", "apple_healthy", "g", "dev"))
+    assert rows_of(Q.empty_splits_all_rows(spark, d)) == [("test",)]
+    assert rows_of(Q.labels_without_training_all_rows(spark, d)) == sorted([(c,) for c in CLASSES if c not in ("apple_scab", "apple_healthy")])
