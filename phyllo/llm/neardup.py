@@ -1,15 +1,18 @@
 """Near-duplicate records with small edits.
 
 Vertical partitioning over the n-grams of file names: the n-grams get one
-global order from rare to frequent, the order is cut into fragments, each
-fragment counts the overlaps of the records that meet in it by itself, and the
-partial counts are summed per pair. Two forms of one name share n-grams that
-weigh at least a given part of the lighter one, so the rarest n-gram that they
-share is among those with which the lighter one still reaches that weight: it
-looks for others there, and the heavier one can be found there. Inside a
-fragment only records whose hashes are close meet. The full overlap, over all
-fragments and weighted by rarity, and an edit check on what the names do not
-share decide about a pair.
+global order from rare to frequent and the order is cut into fragments. A
+record sends each fragment the part of its n-grams that falls into it; inside a
+fragment records with close hashes meet at the n-grams that they share, and the
+weight of what they share there is counted. The partial weights are summed per
+pair, and the sum alone decides: one name is an edited form of the other if
+they share at least a given part of the lighter one's weight.
+
+The rarest n-gram that such a pair shares is among those with which the lighter
+name still reaches that part: it looks for others there, and the heavier one
+can be found there. So every pair meets in some fragment. Where the fragments
+in which a pair met do not reach the threshold, those in which neither looks
+for the other (the frequent n-grams) are counted from the two names.
 """
 
 from __future__ import annotations
@@ -28,12 +31,8 @@ from .linking import components
 
 BASE = 37
 CODES = BASE**3  # n-grams of three characters; the n-gram tables have this size whatever the data
+LEAST_FRAGMENTS = 16
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # five parts of 64 bits: within 4 bits one is equal
-FRAGMENTS = 16
-
-#: Words that an edit or a copy adds to a name; they say nothing about the photograph.
-EDIT_WORDS = ("copy", "of", "new", "tmp", "aug", "resized", "edited", "small", "bright", "rot", "crop", "thumb", "web", "v2", "v3", "final")
-
 _CLASS = np.zeros(256, np.int64)
 _CLASS[128:] = np.arange(128) % 36 + 1
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
@@ -41,18 +40,13 @@ for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz0123456789"):
 
 
 def name_cores(paths: pa.Array) -> pa.Array:
-    """Words of file names between single blanks: lower case, without extension,
-    percent escapes, "(custom)", numbers of a copy in parentheses and EDIT_WORDS
-    (kept if nothing else is left). Null for a path without a letter or digit in its name."""
+    """Words of file names between single blanks: lower case, without extension and percent
+    escapes. Null for a path without a letter or digit in its name."""
     s = pc.replace_substring_regex(pc.utf8_lower(paths.cast(pa.string())), r"(?s)^.*/", "")
     s = pc.replace_substring_regex(s, r"(?s)^(.+)\.[^.]*$", r"\1")
-    s = pc.replace_substring_regex(s, r"%[0-9a-f]{2}|\(\s*custom\s*\)|\([0-9]{1,3}\)", " ")
-    words = pc.utf8_trim(pc.replace_substring_regex(s, r"[^\p{L}\p{N}]+", "  "), " ")
-    words = pc.binary_join_element_wise("", words, "", " ")  # a blank at both ends
-    less = pc.replace_substring_regex(words, f" (?:{'|'.join(EDIT_WORDS)}) ", "")
-    kept = pc.if_else(pc.match_substring_regex(less, "[^ ]"), less, words)
-    cores = pc.replace_substring_regex(kept, " +", " ")
-    return pc.if_else(pc.match_substring_regex(cores, "[^ ]"), cores, pa.scalar(None, pa.string()))
+    words = pc.utf8_trim(pc.replace_substring_regex(s, r"%[0-9a-f]{2}|[^\p{L}\p{N}]+", " "), " ")
+    words = pc.replace_substring_regex(pc.binary_join_element_wise("", words, "", " "), " +", " ")  # a blank at both ends
+    return pc.if_else(pc.match_substring_regex(words, "[^ ]"), words, pa.scalar(None, pa.string()))
 
 
 def gram_codes(cores: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,29 +93,58 @@ def gram_frequencies(cores: DataFrame) -> np.ndarray:
     return out
 
 
-def _ranked(cores: pa.Array, order: np.ndarray, frequency: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Shared n-grams of each core from rare to frequent: row, code, weight from it on, weight of the whole core."""
-    rows, codes = gram_codes(cores)
-    whole = np.bincount(rows, weight[codes], minlength=len(cores))
-    shared = frequency[codes] > 1
-    rows, codes = rows[shared], codes[shared]
-    place = np.lexsort((order[codes], rows))
-    rows, codes = rows[place], codes[place]
-    ends = np.concatenate([[0.0], np.cumsum(weight[codes])])
-    rest = ends[np.searchsorted(rows, rows, "right")] - ends[:-1]
-    return rows, codes, rest + 1e-3, whole[rows]  # more than all rounding
-
-
-def lightest_seekers(cores: DataFrame, order: np.ndarray, frequency: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+class Grams:
+    """Tables over all n-grams: frequency, weight, place in the global order, fragment and parts."""
+
+    def __init__(self, frequency: np.ndarray, similarity: float):
+        self.frequency, self.similarity = frequency, similarity
+        self.order = np.empty(CODES, np.int64)
+        self.order[np.lexsort((np.arange(CODES), frequency))] = np.arange(CODES)
+        self.weight = np.log1p(max(1, int(frequency.max())) / np.maximum(frequency, 1))
+        self.least = np.full(CODES, np.inf)
+
+    def cut(self, least: np.ndarray, rows: int) -> None:
+        """Cut the order into fragments of about ``rows`` names each, by the names that can meet at each n-gram.
+
+        An n-gram of more names is a fragment of its own, divided by the bits
+        of the hashes into about as many parts as it holds times ``rows``.
+        """
+        self.least = least
+        load = np.where(np.isfinite(least), self.frequency, 0)
+        place = np.argsort(self.order)
+        sums = np.cumsum(load[place])
+        rows = max(1, min(rows, int(sums[-1]) // LEAST_FRAGMENTS))
+        alone = load[place] > rows
+        step = sums // rows + np.cumsum(alone) + np.concatenate([[0], np.cumsum(alone)[:-1]])
+        self.fragment = np.empty(CODES, np.int64)
+        self.fragment[place] = np.cumsum(np.diff(step, prepend=step[:1]) > 0)
+        bits = np.minimum(np.ceil(np.log2(np.maximum(load / rows, 1))), 12).astype(np.int64)
+        self.bits = np.zeros(int(self.fragment.max()) + 1, np.int64)
+        np.maximum.at(self.bits, self.fragment, bits)
+
+    def ranked(self, cores: pa.Array) -> tuple[np.ndarray, ...]:
+        """N-grams of each core from rare to frequent: row, code, whether the core seeks others there,
+        whether lighter ones can find it there; and the weight of each core."""
+        rows, codes = gram_codes(cores)
+        total = np.bincount(rows, self.weight[codes], minlength=len(cores))
+        place = np.lexsort((self.order[codes], rows))
+        rows, codes = rows[place], codes[place]
+        shared = self.frequency[codes] > 1
+        ends = np.concatenate([[0.0], np.cumsum(np.where(shared, self.weight[codes], 0.0))])
+        rest = ends[np.searchsorted(rows, rows, "right")] - ends[:-1] + 1e-3  # more than all rounding
+        seeks = shared & (rest >= self.similarity * total[rows])
+        return rows, codes, seeks, seeks | shared & (rest >= self.similarity * self.least[codes]), total
+
+
+def lightest_seekers(cores: DataFrame, grams: Grams) -> np.ndarray:
     """Weight of the lightest core that looks for others at each n-gram, infinite if none does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = np.full(CODES, np.inf)
         for whole in batches:
             for begin in range(0, whole.num_rows, 20_000):
-                _, codes, rest, total = _ranked(whole.column(0).slice(begin, 20_000), order, frequency, weight)
-                seeks = rest >= similarity * total
-                np.minimum.at(least, codes[seeks], total[seeks])
+                rows, codes, seeks, _, total = grams.ranked(whole.column(0).slice(begin, 20_000))
+                np.minimum.at(least, codes[seeks], total[rows[seeks]])
         at = np.flatnonzero(np.isfinite(least))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(least[at])], names=["code", "least"])
 
@@ -131,51 +154,80 @@ def lightest_seekers(cores: DataFrame, order: np.ndarray, frequency: np.ndarray,
     return out
 
 
-def _signatures(order: np.ndarray, frequency: np.ndarray, weight: np.ndarray, least: np.ndarray, similarity: float, hot: int):
-    """Rows for the fragments. The last bit of ``gram`` is set where the name looks for
-    others, as long as the n-grams from there on reach ``similarity`` of its weight. At the
-    others it only waits for lighter names that look there, if these can share enough with it."""
+MARKS = np.random.default_rng(11).integers(-(2**62), 2**62, CODES)
+SEGMENTS = "cell long, fragment int, item_id long, name long, total double, segment binary, hashes binary"
+
+
+def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """A binary array whose elements are the values up to each end."""
+    width = values.itemsize
+    offsets = np.concatenate([[0], ends]).astype(np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _values(blobs: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary array, and how many each element has."""
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+    if not len(blobs) or offsets[-1] == offsets[0]:
+        return np.empty(0, kind), np.zeros(len(blobs), np.int64)
+    return np.frombuffer(blobs.buffers()[2][offsets[0] : offsets[-1]], kind), np.diff(offsets).astype(np.int64) // np.dtype(kind).itemsize
+
+
+def _segments(grams: Grams):
+    """One row for each record and fragment where it seeks others or can be found: its n-grams there,
+    each with two marks (seeks, can be found), and its hashes, which so travel once a fragment.
+
+    In a fragment that is divided, a record enters the part of each band of its
+    hashes, so two close ones share a part; with more bits come more parts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, 20_000):
                 batch = whole.slice(begin, 20_000)
-                rows, codes, rest, total = _ranked(name_cores(batch.column("image_path")), order, frequency, weight)
-                seeks = rest >= similarity * total
-                keep = seeks | (rest >= similarity * least[codes])
-                rows, codes, seeks = rows[keep], codes[keep], seeks[keep].astype(np.int64)
+                rows, codes, seeks, found, total = grams.ranked(name_cores(batch.column("image_path")))
+                if not len(rows):
+                    continue
+                fragment = grams.fragment[codes]
+                name = np.zeros(batch.num_rows, np.int64)
+                np.add.at(name, rows, MARKS[codes])
+                new = np.concatenate([[True], (np.diff(rows) != 0) | (np.diff(fragment) != 0)])
+                first = np.flatnonzero(new)
+                used = np.logical_or.reduceat(found, first)
+                kept = used[np.cumsum(new) - 1]
+                marked = (codes << 2 | found.astype(np.int64) << 1 | seeks).astype(np.uint32)[kept]
+                ends = np.cumsum(np.diff(np.concatenate([first, [len(rows)]]))[used])
+                r, f = rows[first[used]], fragment[first[used]]
                 lists = batch.column("hashes")
                 flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                ends = np.cumsum(np.asarray(lists.value_lengths()))
-                begins = ends - np.asarray(lists.value_lengths())
-                sub = np.zeros(len(rows), np.int64)
-                many = frequency[codes] > hot
-                if many.any():
-                    # A hot n-gram is divided by the parts of the hashes; a record enters once for each.
-                    r, g = rows[many], codes[many] << 1 | seeks[many]
-                    lengths = (ends - begins)[r]
-                    at = np.repeat(begins[r] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
-                    r, g = np.repeat(r, lengths), np.repeat(g, lengths)
-                    h = flat[at].view(np.uint64)
-                    parts = [(h >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) | (b + 1) << 13 for b, (s, w) in enumerate(BANDS)]
-                    extra = np.unique(np.stack([np.tile(r, 5), np.tile(g, 5), np.concatenate(parts)]), axis=1)
-                    rows, codes, seeks, sub = (np.concatenate([x[~many], y]) for x, y in ((rows, extra[0]), (codes, extra[1] >> 1), (seeks, extra[1] & 1), (sub, extra[2])))
-                packed = pa.array([flat[b:e].tobytes() for b, e in zip(begins.tolist(), ends.tolist())], pa.binary())
-                picked = pa.array(rows)
+                counts = np.asarray(lists.value_lengths()).astype(np.int64)
+                stops = np.cumsum(counts)
+                cell, at = f << 17, np.arange(len(r))
+                bits = grams.bits[f]
+                if bits.any():
+                    wide = np.flatnonzero(bits)
+                    n = counts[r[wide]]
+                    turn = np.repeat(stops[r[wide]] - np.cumsum(n), n) + np.arange(n.sum())
+                    h, owner = flat[turn].view(np.uint64), np.repeat(wide, n)
+                    parts = [(b + 1) << 13 | (h >> np.uint64(s) & np.uint64((1 << w) - 1)).astype(np.int64) >> np.maximum(w - bits[owner], 0) for b, (s, w) in enumerate(BANDS)]
+                    both = np.unique(np.stack([np.tile(owner, len(BANDS)), np.concatenate(parts)]), axis=1)
+                    cell, at = np.concatenate([cell[bits == 0], f[both[0]] << 17 | both[1]]), np.concatenate([at[bits == 0], both[0]])
+                picked = pa.array(r[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((order[codes] << 17 | sub) << 1 | seeks), batch.column("item_id").take(picked), packed.take(picked)], names=["gram", "item_id", "hashes"]
+                    [pa.array(cell), pa.array(f[at].astype(np.int32)), batch.column("item_id").take(picked), pa.array(name[r[at]]), pa.array(total[r[at]]), _blobs(marked, ends).take(pa.array(at)), _blobs(flat, stops).take(picked)],
+                    names=["cell", "fragment", "item_id", "name", "total", "segment", "hashes"],
                 )
 
     return run
 
 
-def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 2_000_000, small: int = 32, groups: int = 512, step: int = 100_000, seeks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 2_000_000, small: int = 32, places: int = 1 << 22, step: int = 100_000, seeks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of one group where some hash of one lies within ``radius`` of the first hash of the other.
 
     Where ``seeks`` is given, it is true for one row of each pair at least.
     The rows are sorted by ``group``. Groups of up to ``small`` rows are compared
     as they are; in larger ones equal parts of the hashes lead to the candidates,
-    through tables for ``groups`` groups at a time. Rows are taken in steps of
+    through tables of about ``places`` entries for the groups of one size. Rows are taken in steps of
     ``step`` and candidates in steps of about ``most``, so memory beyond the rows
     themselves does not depend on the size of a group.
     """
@@ -216,63 +268,109 @@ def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: n
         at, owner = turns(few[k : k + step])
         yield from expand(at, owner, begin[number[owner]], size[number[owner]], None)
 
-    many = np.flatnonzero((size > small) & sought)
-    for k in range(0, len(many), groups):
-        part = many[k : k + groups]
-        place_of = np.full(len(size), -1, np.int64)
-        place_of[part] = np.arange(len(part))
-        rows = np.flatnonzero(place_of[number] >= 0)
-        for shift, width in BANDS:
-            mask = np.uint64((1 << width) - 1)
-            canon = place_of[number[rows]] << width | (first[rows] >> np.uint64(shift) & mask).astype(np.int64)
-            canon = canon << 1 | ~seeks[rows]  # those that seek come first: the others look up only these
-            place = rows[np.argsort(canon, kind="stable")]
-            ends = np.zeros((len(part) << width + 1) + 1, np.int32)
-            np.cumsum(np.bincount(canon, minlength=len(part) << width + 1), out=ends[1:])
-            for r in range(0, len(rows), step):
-                at, owner = turns(rows[r : r + step])
-                wanted = (place_of[number[owner]] << width | (flat[at] >> np.uint64(shift) & mask).astype(np.int64)) << 1
-                low = ends[wanted].astype(np.int64)
-                counts = ends[wanted + 1 + seeks[owner]] - low
-                hit = np.flatnonzero(counts)
-                # A row that only meets itself, through its first hash, is no candidate.
-                hit = hit[(counts[hit] > 1) | (place[low[hit]] != owner[hit])]
-                yield from expand(at[hit], owner[hit], low[hit], counts[hit], place)
-
-
-def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
-    """Partial overlaps per pair of ids and fragment, from rows sorted by n-gram."""
+    # Tables of about four places a row, so groups of one size go together.
+    class_of = np.where((size > small) & sought, np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 2, 0)
+    for c in np.unique(class_of[class_of > 0]).tolist():
+        many = np.flatnonzero(class_of == c)
+        at_once = max(1, places >> c)
+        for k in range(0, len(many), at_once):
+            part = many[k : k + at_once]
+            rows, place_in = turns_of(part, begin, size)
+            for shift, width in BANDS:
+                w = min(width, c)
+                mask = np.uint64((1 << w) - 1)
+                canon = place_in << w | (first[rows] >> np.uint64(shift) & mask).astype(np.int64)
+                canon = canon << 1 | ~seeks[rows]  # those that seek come first: the others look up only these
+                order = np.argsort(canon, kind="stable")
+                place = rows[order]
+                ends = np.zeros((len(part) << w + 1) + 1, np.int32)
+                np.cumsum(np.bincount(canon, minlength=len(part) << w + 1), out=ends[1:])
+                for r in range(0, len(rows), step):
+                    some = rows[r : r + step]
+                    at, owner = turns(some)
+                    wanted = (np.repeat(place_in[r : r + step], lengths[some]) << w | (flat[at] >> np.uint64(shift) & mask).astype(np.int64)) << 1
+                    low = ends[wanted].astype(np.int64)
+                    counts = ends[wanted + 1 + seeks[owner]] - low
+                    hit = np.flatnonzero(counts)
+                    # A row that only meets itself, through its first hash, is no candidate.
+                    hit = hit[(counts[hit] > 1) | (place[low[hit]] != owner[hit])]
+                    yield from expand(at[hit], owner[hit], low[hit], counts[hit], place)
+
+
+def turns_of(part: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the groups in ``part``, and the place of each one's group there."""
+    n = size[part]
+    return np.repeat(begin[part] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(part)), n)
+
+
+def _spread(counts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the values of the given rows, and the place of each one's row in ``rows``."""
+    n = counts[rows]
+    return np.repeat((np.cumsum(counts) - counts)[rows] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(rows)), n)
+
+
+def shared_weight(codes: np.ndarray, counts: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weight of the n-grams that the rows of each pair share."""
+    (x, p), (y, q) = _spread(counts, left), _spread(counts, right)
+    mine = p << 16 | codes[x]
+    held = mine[np.isin(mine, q << 16 | codes[y])]
+    return np.bincount(held >> 16, weight[held & 0xFFFF], minlength=len(left))
+
+
+OVERLAPS = "a long, b long, fragment int, shared double, lighter double"
+
+
+def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
+    """Partial overlap of each pair that meets in a fragment, from rows sorted by cell.
+
+    Records of one name and the same hashes behave alike: the one with the
+    smallest id stands for them, and the others are only paired with it.
+    """
+    weight = grams.weight
+
+    def match(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell, ids, fragment, total = (t[c].to_numpy() for c in ("cell", "item_id", "fragment", "total"))
+        blob, segment = (t[c].combine_chunks() for c in ("hashes", "segment"))
+        blob, segment = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (blob, segment))
+        picture = pc.dictionary_encode(blob).indices.to_numpy()
+        order = np.lexsort((ids, t["name"].to_numpy(), picture, cell))
+        k = np.stack([cell, picture, t["name"].to_numpy()])[:, order]
+        new = np.concatenate([[True], (np.diff(k) != 0).any(0)])
+        stands = np.empty(len(ids), np.int64)
+        stands[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        marked, counts = _values(segment, np.uint32)
+        codes = (marked >> 2).astype(np.int64)
+        other = np.flatnonzero(ids != ids[stands])
+        found = [stands[other] * len(ids) + other]
+
+        alone = np.flatnonzero(stands == np.arange(len(ids)))
+        at, owner = _spread(counts, alone)
+        open_ = marked[at] & 2 > 0
+        at, owner = at[open_], alone[owner[open_]]
+        group = cell[owner] << 16 | codes[at]
+        place = np.argsort(group, kind="stable")
+        at, owner = at[place], owner[place]
+        flat, lengths = _values(blob, np.uint64)
+        turns, _ = _spread(lengths, owner)
+        held = 0
+        for left, right in close_pairs(group[place], ids[owner], flat[turns], lengths[owner], radius, seeks=marked[at] & 1 > 0):
+            left, right = owner[left], owner[right]
+            found.append(np.minimum(left, right) * len(ids) + np.maximum(left, right))
+            held += len(left)
+            if held > 1_000_000:
+                found, held = [np.unique(np.concatenate(found))], 0
+        pairs = np.unique(np.concatenate(found))
+        for begin in range(0, len(pairs), 200_000):
+            left, right = np.divmod(pairs[begin : begin + 200_000], len(ids))
+            shared = shared_weight(codes, counts, left, right, weight)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right])), pa.array(fragment[left]), pa.array(shared), pa.array(np.minimum(total[left], total[right]))],
+                names=["a", "b", "fragment", "shared", "lighter"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         size = 0
-
-        def match(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            gram, seeks = t["gram"].to_numpy() >> 1, (t["gram"].to_numpy() & 1).astype(bool)
-            ids = t["item_id"].to_numpy()
-            blob = t["hashes"].combine_chunks() if isinstance(t["hashes"], pa.ChunkedArray) else t["hashes"]
-            offsets = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
-            flat = np.frombuffer(blob.buffers()[2][offsets[0] : offsets[-1]], np.uint64)
-            lengths = np.diff(offsets).astype(np.int64) // 8
-            n = len(ids)
-            found = np.empty(0, np.int64)
-            parts: list[np.ndarray] = []
-            held_pairs = 0
-            for left, right in close_pairs(gram, ids, flat, lengths, radius, seeks=seeks):
-                parts.append(np.minimum(left, right) * n + np.maximum(left, right))
-                held_pairs += len(left)
-                if held_pairs > 1_000_000:
-                    found, parts, held_pairs = np.unique(np.concatenate([found, *parts])), [], 0
-            found = np.unique(np.concatenate([found, *parts]))
-            if len(found):
-                left, right = found // n, found % n
-                a, b, fragment = np.minimum(ids[left], ids[right]), np.maximum(ids[left], ids[right]), (gram[left] >> 17) * FRAGMENTS // cut
-                place = np.lexsort((fragment, b, a))
-                a, b, fragment = a[place], b[place], fragment[place]
-                new = np.flatnonzero(np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(fragment) != 0)]))
-                counts = np.diff(np.concatenate([new, [len(a)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(fragment[new]), pa.array(counts)], names=["a", "b", "fragment", "n"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -280,10 +378,10 @@ def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
             size += batch.num_rows
             if size >= rows:
                 t = pa.concat_tables(held).combine_chunks()
-                gram = t["gram"].to_numpy() >> 1
-                cut_at = int(np.searchsorted(gram, gram[-1]))  # the last n-gram may go on
+                cell = t["cell"].to_numpy()
+                cut_at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
                 if cut_at:
-                    yield from match(t.slice(0, cut_at))
+                    yield from match(t.slice(0, cut_at).combine_chunks())
                 held, size = [t.slice(cut_at)], t.num_rows - cut_at
         if size:
             yield from match(pa.concat_tables(held).combine_chunks())
@@ -291,88 +389,52 @@ def _fragment_overlaps(radius: int, cut: int, rows: int = 40_000):
     return run
 
 
-def osa(a: str, b: str, most: int) -> int:
-    """Edits (insert, delete, replace, swap neighbours) between two strings; most + 1 if more."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return min(last[-1], most + 1)
-
-
-def word_codes(word: str) -> list[int]:
-    c = _CLASS[np.frombuffer(f" {word} ".encode(), np.uint8)].tolist()
-    return [(c[i - 1] * BASE + c[i]) * BASE + c[i + 1] for i in range(1, len(c) - 1)]
-
-
-def edited_form(a: str, b: str, weight: np.ndarray, similarity: float) -> bool:
-    """Whether one core is an edited form of the other.
-
-    The n-grams that they share must weigh at least ``similarity`` of the
-    lighter one. Then either the words in common weigh half of it, or what is
-    left of both without these words differs by one edit (two from 8 letters on)
-    or, if half of the weight is shared, by two inserted letters or in their order only.
-    """
-    wa, wb = a.split(), b.split()
-    if not wa or not wb:
-        return False
-    ga, gb = ({c for w in ws for c in word_codes(w)} for ws in (wa, wb))
-    sums = [sum(weight[c] for c in g) for g in (ga, gb, ga & gb)]
-    if sums[2] < similarity * min(sums[:2]):
-        return False
-    common = set(wa) & set(wb)
-    if sum(weight[c] for c in {c for w in common for c in word_codes(w)}) >= 0.5 * min(sums[:2]):
-        return True
-    # A number of up to two digits that only one of them has counts the copies.
-    ra, rb = ("".join(w for w in ws if w not in common and not (len(w) < 3 and w.isdigit())) for ws in (wa, wb))
-    if sums[2] >= 0.5 * min(sums[:2]):
-        rest = iter(max(ra, rb, key=len))
-        if sorted(ra) == sorted(rb) or abs(len(ra) - len(rb)) == 2 and all(c in rest for c in min(ra, rb, key=len)):
-            return True
-    return osa(ra, rb, most := 2 if min(len(ra), len(rb)) >= 8 else 1) <= most
-
-
-def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, similarity: float = 0.35, hot: int = 2_000_000) -> DataFrame:
-    """Pairs of items (``a`` < ``b``) with close hashes and file names of which one is an edited form of the other.
-
-    Items without hashes or without a name take no part. An n-gram of more than
-    ``hot`` names is divided by the parts of the hashes, at the cost of one row
-    for each part, so no group of one n-gram exceeds what a task can hold; the
-    pairs found are the same.
+def _remaining(grams: Grams):
+    """Pairs that reach the threshold with the fragments in which they did not meet, counted from the names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 20_000):
+                batch = whole.slice(begin, 20_000)
+                n = batch.num_rows
+                rows, codes = gram_codes(pa.concat_arrays([batch.column("core_a").cast(pa.string()), batch.column("core_b").cast(pa.string())]))
+                counted = batch.column("fragments")
+                done = np.repeat(np.arange(n), np.asarray(counted.value_lengths())) << 32 | counted.flatten().to_numpy().astype(np.int64)
+                left = np.isin((rows % max(n, 1)) << 32 | grams.fragment[codes], done, invert=True)
+                counts = np.bincount(rows[left], minlength=2 * n)
+                rest = shared_weight(codes[left], counts, np.arange(n), np.arange(n, 2 * n), grams.weight)
+                keep = batch.column("shared").to_numpy() + rest >= grams.similarity * batch.column("lighter").to_numpy()
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return run
+
+
+def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, similarity: float = 0.3, rows: int = 100_000) -> DataFrame:
+    """Links (``a`` < ``b``) between items with close hashes and file names of which one is an edited form of the other.
+
+    Items without hashes or without a name take no part. Items of one name and
+    the same hashes are all linked to the one with the smallest id and to
+    nothing else; all other pairs come out. ``rows`` is the size of a fragment;
+    it changes nothing in the result.
     """
     if radius > 4:
         raise ValueError("five parts of the hashes find pairs within 4 bits")
+    scratch = Scratch(spark, "near")
     named = items.select(
         "item_id", base_name(missing_to_null("image_path")).alias("image_path"), F.filter("hashes", lambda h: h.isNotNull()).alias("hashes")
     ).where("item_id IS NOT NULL AND image_path IS NOT NULL AND size(hashes) > 0")
-    cores = Scratch(spark, "cores").save(item_cores(named))
-    frequency = gram_frequencies(cores)
-    order = np.empty(CODES, np.int64)
-    order[np.lexsort((np.arange(CODES), frequency))] = np.arange(CODES)
-    rows = max(1, int(frequency.max()))
-    weight = np.log1p(rows / np.maximum(frequency, 1))
-    least = lightest_seekers(cores, order, frequency, weight, similarity)
-    keyed = named.mapInArrow(_signatures(order, frequency, weight, least, similarity, hot), "gram long, item_id long, hashes binary")
-    met = keyed.repartition(F.shiftright("gram", 1)).sortWithinPartitions("gram").mapInArrow(_fragment_overlaps(radius, CODES), "a long, b long, fragment long, n long")
-    pairs = met.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    cores = scratch.save(item_cores(named))
+    grams = Grams(gram_frequencies(cores), similarity)
+    grams.cut(lightest_seekers(cores, grams), rows)
+    met = named.mapInArrow(_segments(grams), SEGMENTS).repartition("cell").sortWithinPartitions("cell").mapInArrow(_fragment_overlaps(grams, radius), OVERLAPS)
+    # A pair may meet in several parts of one fragment; its overlap there counts once.
+    partial = met.repartition("a", "b").groupBy("a", "b", "fragment").agg(F.max("shared").alias("shared"), F.max("lighter").alias("lighter"))
+    summed = scratch.save(partial.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("lighter").alias("lighter"), F.array_sort(F.collect_set("fragment")).alias("fragments")))
+    reached = F.col("shared") >= similarity * F.col("lighter")
+    short = summed.where(~reached)
     for end in "ab":
-        pairs = pairs.join(cores.select(F.col("item_id").alias(end), F.col("core").alias(f"core_{end}")), end)
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [edited_form(x, y, weight, similarity) for x, y in zip(*(batch.column(f"core_{end}").to_pylist() for end in "ab"))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.select("a", "b", "core_a", "core_b").mapInArrow(decide, "a long, b long")
+        short = short.join(cores.select(F.col("item_id").alias(end), F.col("core").alias(f"core_{end}")), end)
+    return summed.where(reached).select("a", "b").unionByName(short.mapInArrow(_remaining(grams), "a long, b long"))
 
 
 def equal_pixels(items: DataFrame) -> DataFrame:
