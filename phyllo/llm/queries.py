@@ -45,7 +45,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of the overlaps per evaluation split and source."""
-    return overlap.overlap_report(p2_found(spark, sf_dir), table(spark, sf_dir, "manifest"))
+    photos = Scratch(spark, "report").save(overlap.photographs(spark, table(spark, sf_dir, "items")))
+    return overlap.overlap_report(photos, table(spark, sf_dir, "manifest"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
