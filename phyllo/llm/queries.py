@@ -50,7 +50,20 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splitting.broken_groups(spark, table(spark, sf_dir, "manifest"))
+    return splitting.broken_groups(spark, table(spark, sf_dir, "manifest")).select("group_id")
+
+
+def p3_broken_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with broken groups: how many of these each holds. They are mended together, since they share items."""
+    return splitting.broken_groups(spark, table(spark, sf_dir, "manifest")).groupBy("component").agg(F.count("*").alias("n_broken"))
+
+
+def p3_parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups in more than one split, by the published splits and by the new ones."""
+    manifest = table(spark, sf_dir, "manifest")
+    new = splitting.assign(spark, manifest).where("group_id IS NOT NULL").groupBy("group_id").agg(F.count_distinct("new_split").alias("k")).where("k > 1")
+    counts = [d.agg(F.count("*").alias("n_parted")).withColumn("splits", F.lit(name)) for name, d in (("published", splitting.broken_groups(spark, manifest)), ("new", new))]
+    return counts[0].unionByName(counts[1])
 
 
 def p3_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:

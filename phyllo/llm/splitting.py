@@ -3,7 +3,8 @@
 Hash-to-min: every node keeps a cluster of known relatives; each round it sends
 the cluster to its smallest member and the smallest member to everyone in the
 cluster, until nothing changes. Weighted rendezvous hashing then gives each
-component a split that depends only on its name and the weights.
+component a split by its name and by what each split still lacks in its source,
+in rounds from large to small components.
 """
 
 from __future__ import annotations
@@ -81,13 +82,15 @@ def split_components(spark: SparkSession, manifest: DataFrame, scratch: Scratch
 
 
 def broken_groups(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Groups whose own rows name more than one split: ``group_id`` in one spelling.
+    """Groups whose own rows name more than one split: ``group_id`` in one spelling and its ``component``.
 
-    Rows without a known split or without a group count for nothing.
+    Rows without a known split or without a group count for nothing. A group
+    lies in one component, so the components cannot change which groups these
+    are; they tell which broken groups must be mended together.
     """
     members = split_components(spark, manifest).where("group_id IS NOT NULL")
     by_group = members.groupBy("component", "group_id").agg(F.bit_or("splits").alias("splits"))
-    return by_group.where(F.bit_count("splits") > 1).select("group_id")
+    return by_group.where(F.bit_count("splits") > 1).select("group_id", "component")
 
 
 def _uniform(*parts: Column) -> Column:
@@ -95,44 +98,50 @@ def _uniform(*parts: Column) -> Column:
     return (F.xxhash64(*parts).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
 
 
-def assign(spark: SparkSession, manifest: DataFrame, shares: tuple = SHARES, large: float = 0.01, small_source: float = 0.001) -> DataFrame:
+HALVES = 7
+
+
+def rounds(n: Column, *name: Column) -> Column:
+    """Round of a component, rising: the larger the rows the earlier, by powers of two; components of
+    less than four rows in rounds that are halved each time, by a hash of their names."""
+    size = F.greatest(F.floor(F.log2(n.cast("double"))), F.lit(1)).cast("int")
+    half = F.least(F.floor(-F.log2(_uniform(*name, F.lit("round")))), F.lit(HALVES - 1)).cast("int")
+    return F.when(size > 1, -size).otherwise(half).cast("int")
+
+
+def assign(spark: SparkSession, manifest: DataFrame, shares: tuple = SHARES) -> DataFrame:
     """A new split per component: ``component``, ``entity``, ``group_id``, ``source_dataset``, ``n`` and ``new_split``.
 
-    Components above ``large`` of the rows of their main source (if that source
-    has at least ``small_source`` of all rows: at most 1/large/small_source of
-    them, however much data there is) are placed first, each where its source
-    lacks most. The rest is drawn by weighted rendezvous hashing, the weights
-    of a source being what each split still lacks there, so every source and
-    the whole reach the shares.
+    Every component, whatever its size, draws by weighted rendezvous hashing:
+    the weight of a split is what it still lacks in the component's main source
+    (the one with most of its rows), or nothing if the component does not fit
+    there any more; where it fits nowhere, the split that lacks most gets it.
+    The draws of a round are made at once, from what the rounds before left, so
+    there is one Spark job for each power of two between the sizes, and a few
+    for the small ones. What is lacking is a table with one row a source.
     """
     scratch = Scratch(spark, "assign")
     members = scratch.save(split_components(spark, manifest, scratch))
-    per_source = members.groupBy("component", "source_dataset").agg(F.sum("n").alias("n"))
-    comps = scratch.save(
-        per_source.groupBy("component").agg(
-            F.max_by("source_dataset", F.struct("n", F.coalesce("source_dataset", F.lit("")))).alias("main"), F.sum("n").alias("n")
-        )
-    )
-    totals = comps.groupBy(F.col("main").alias("of")).agg(F.sum("n").alias("total"))
-    whole = members.agg(F.sum("n")).first()[0] or 0
-    counted = totals.where(F.col("total") >= F.lit(small_source * whole))
-    big = comps.join(counted, F.col("main").eqNullSafe(F.col("of"))).where(F.col("n") > F.lit(large) * F.col("total"))
-    big = big.select("component", "main", "n", "total")
-    placed, lacks = [], {}
-    for r in sorted(big.collect(), key=lambda r: (-r["n"], r["component"])):
-        lack = lacks.setdefault(r["main"], [s * r["total"] for s in shares])
-        k = max(range(len(SPLITS)), key=lambda k: (lack[k], -k))
-        lack[k] -= r["n"]
-        placed.append((r["component"], SPLITS[k]))
-    placed_df = spark.createDataFrame(placed, "component string, placed string")
-    weights = [(m, *(max(x, 1e-9) for x in lack)) for m, lack in lacks.items()]
-    weights_df = spark.createDataFrame(weights, "main_source string, w0 double, w1 double, w2 double")
-    drawn = comps.join(placed_df, "component", "left").join(weights_df, F.col("main").eqNullSafe(F.col("main_source")), "left")
-    scores = [
-        F.struct((-F.ln(_uniform(F.col("component"), F.lit(s))) / F.coalesce(F.col(f"w{k}"), F.lit(shares[k]))).alias("score"), F.lit(s).alias("split"))
-        for k, s in enumerate(SPLITS)
-    ]
-    drawn = drawn.select("component", F.coalesce("placed", F.array_min(F.array(*scores))["split"]).alias("new_split"))
+    source = F.coalesce("source_dataset", F.lit(""))
+    per_source = scratch.save(members.groupBy("component", source.alias("source")).agg(F.sum("n").alias("n")))
+    comps = per_source.groupBy("component").agg(F.max_by("source", F.struct("n", "source")).alias("main"), F.sum("n").alias("size"))
+    comps = scratch.save(comps.withColumn("round", rounds(F.col("size"), F.col("component"))))
+    lacks = scratch.save(per_source.groupBy("source").agg(*((F.sum("n") * s).alias(f"l{k}") for k, s in enumerate(shares))))
+    placed = []
+    for row in comps.select("round").distinct().orderBy("round").collect():  # at most 64 + HALVES rows
+        now = comps.where(F.col("round") == row["round"]).join(lacks.withColumnRenamed("source", "main"), "main")
+        fits = [F.when((F.col(f"l{k}") >= F.col("size")) & (F.col(f"l{k}") > 0), F.col(f"l{k}")) for k in range(len(SPLITS))]
+        scores = F.array(*(F.struct((-F.ln(_uniform(F.col("component"), F.lit(s))) / fits[k]).alias("score"), F.lit(s).alias("split")) for k, s in enumerate(SPLITS)))
+        drawn = F.array_min(F.filter(scores, lambda x: x["score"].isNotNull()))["split"]
+        most = F.array_max(F.array(*(F.struct(F.col(f"l{k}").alias("l"), F.lit(-k).alias("k"), F.lit(s).alias("split")) for k, s in enumerate(SPLITS))))["split"]
+        placed.append(scratch.save(now.select("component", F.coalesce(drawn, most).alias("new_split"))))
+        taken = placed[-1].join(per_source, "component").groupBy("source").agg(*(F.sum(F.when(F.col("new_split") == s, F.col("n")).otherwise(0)).alias(f"t{k}") for k, s in enumerate(SPLITS)))
+        lacks = scratch.save(lacks.join(taken, "source", "left").select("source", *((F.col(f"l{k}") - F.coalesce(f"t{k}", F.lit(0))).alias(f"l{k}") for k in range(len(SPLITS)))))
+    if not placed:
+        return members.withColumn("new_split", F.lit(None).cast("string")).select("component", "entity", "group_id", "source_dataset", "n", "new_split")
+    drawn = placed[0]
+    for more in placed[1:]:
+        drawn = drawn.unionByName(more)
     return members.join(drawn, "component").select("component", "entity", "group_id", "source_dataset", "n", "new_split")
 
 

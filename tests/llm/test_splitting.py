@@ -24,7 +24,7 @@ def test_broken_groups(spark, clash):
         (1, "/1", "s", "G1 ", "train"), (2, "/2", "s", "g1", "TRAINING"), (3, "/3", "s", "g2", "train"), (4, "/4", "s", " G2", "val "), (5, "/5", "s", "g3", "test"), (5, "/5", "s", "g3", "train"),
         (6, "/6", "s", "g4", None), (7, "/7", "s", "g4", "val"), (8, "/8", "s", None, "val"), (8, "/8", "s", None, "train"), (9, "/9", "s", "g5", "odd"), (10, "/10", "s", "g5", "val"), (None, None, None, None, None),
     ]
-    assert rows_of(splitting.broken_groups(spark, clash(spark.createDataFrame(rows * 2, MANIFEST)))) == [("g2",), ("g3",)]
+    assert rows_of(splitting.broken_groups(spark, clash(spark.createDataFrame(rows * 2, MANIFEST))), "group_id") == [("g2",), ("g3",)]
     assert splitting.broken_groups(spark, spark.createDataFrame([], MANIFEST)).count() == 0
 
 
@@ -46,7 +46,7 @@ def test_assignment(spark):
     assert done.groupBy("component").agg(F.count_distinct("new_split").alias("k")).where("k > 1").count() == 0
     assert done.groupBy("entity").agg(F.count_distinct("component").alias("k")).where("k > 1").count() == 0
     for r in splitting.balance(done).collect():
-        assert abs(r.share - {"train": 0.8, "val": 0.1, "test": 0.1}[r.new_split]) < 0.035, r
+        assert abs(r.share - {"train": 0.8, "val": 0.1, "test": 0.1}[r.new_split]) < 0.01, r
     again = splitting.assign(spark, m.repartition(7))
     assert rows_of(done, "entity", "new_split") == rows_of(again, "entity", "new_split")
     # The item with rows in two groups holds these together.
