@@ -31,7 +31,7 @@ from .linking import components
 
 BASE = 37
 CODES = BASE**3  # n-grams of three characters; the n-gram tables have this size whatever the data
-LEAST_FRAGMENTS = 16
+LEAST_FRAGMENTS = 12
 BANDS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # five parts of 64 bits: within 4 bits one is equal
 _CLASS = np.zeros(256, np.int64)
 _CLASS[128:] = np.arange(128) % 36 + 1
@@ -155,7 +155,7 @@ def lightest_seekers(cores: DataFrame, grams: Grams) -> np.ndarray:
 
 
 MARKS = np.random.default_rng(11).integers(-(2**62), 2**62, CODES)
-SEGMENTS = "cell long, fragment int, item_id long, name long, total double, segment binary, hashes binary"
+SEGMENTS = "cell long, item_id long, name long, total double, segment binary, hashes binary"
 
 
 def _blobs(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -214,8 +214,8 @@ def _segments(grams: Grams):
                     cell, at = np.concatenate([cell[bits == 0], f[both[0]] << 17 | both[1]]), np.concatenate([at[bits == 0], both[0]])
                 picked = pa.array(r[at])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell), pa.array(f[at].astype(np.int32)), batch.column("item_id").take(picked), pa.array(name[r[at]]), pa.array(total[r[at]]), _blobs(marked, ends).take(pa.array(at)), _blobs(flat, stops).take(picked)],
-                    names=["cell", "fragment", "item_id", "name", "total", "segment", "hashes"],
+                    [pa.array(cell), batch.column("item_id").take(picked), pa.array(name[r[at]]), pa.array(total[r[at]]), _blobs(marked, ends).take(pa.array(at)), _blobs(flat, stops).take(picked)],
+                    names=["cell", "item_id", "name", "total", "segment", "hashes"],
                 )
 
     return run
@@ -329,7 +329,7 @@ def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
     weight = grams.weight
 
     def match(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell, ids, fragment, total = (t[c].to_numpy() for c in ("cell", "item_id", "fragment", "total"))
+        cell, ids, total = (t[c].to_numpy() for c in ("cell", "item_id", "total"))
         blob, segment = (t[c].combine_chunks() for c in ("hashes", "segment"))
         blob, segment = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (blob, segment))
         picture = pc.dictionary_encode(blob).indices.to_numpy()
@@ -364,7 +364,7 @@ def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
             left, right = np.divmod(pairs[begin : begin + 200_000], len(ids))
             shared = shared_weight(codes, counts, left, right, weight)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right])), pa.array(fragment[left]), pa.array(shared), pa.array(np.minimum(total[left], total[right]))],
+                [pa.array(np.minimum(ids[left], ids[right])), pa.array(np.maximum(ids[left], ids[right])), pa.array((cell[left] >> 17).astype(np.int32)), pa.array(shared), pa.array(np.minimum(total[left], total[right]))],
                 names=["a", "b", "fragment", "shared", "lighter"],
             )
 
@@ -376,12 +376,11 @@ def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
                 continue
             held.append(pa.Table.from_batches([batch]))
             size += batch.num_rows
-            if size >= rows:
+            last = batch.column("cell")[-1]
+            if size >= rows and held[0]["cell"][0] != last:
                 t = pa.concat_tables(held).combine_chunks()
-                cell = t["cell"].to_numpy()
-                cut_at = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
-                if cut_at:
-                    yield from match(t.slice(0, cut_at).combine_chunks())
+                cut_at = int(np.searchsorted(t["cell"].to_numpy(), last.as_py()))  # the last cell may go on
+                yield from match(t.slice(0, cut_at).combine_chunks())
                 held, size = [t.slice(cut_at)], t.num_rows - cut_at
         if size:
             yield from match(pa.concat_tables(held).combine_chunks())
@@ -409,7 +408,7 @@ def _remaining(grams: Grams):
     return run
 
 
-def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, similarity: float = 0.3, rows: int = 100_000) -> DataFrame:
+def near_pairs(spark: SparkSession, items: DataFrame, radius: int = 4, similarity: float = 0.3, rows: int = 800_000) -> DataFrame:
     """Links (``a`` < ``b``) between items with close hashes and file names of which one is an edited form of the other.
 
     Items without hashes or without a name take no part. Items of one name and
