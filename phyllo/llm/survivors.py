@@ -1,15 +1,19 @@
 """Best representative of each group of duplicate records.
 
-Dominance compares records by trust, completeness and provenance. A record is
-undominated if no other is at least as good in all of them and better in one;
-layer 1 holds the undominated records, layer k those that only records of
-earlier layers dominate. The survivor is the best record of layer 1 by a
-lexicographic policy; each of its missing fields comes from the first layer
-that knows it, there again by the policy.
+Dominance compares records by trust (not edited), completeness (pixel area),
+provenance (copy marks) and recency (month of the latest reading). A record
+dominates another one if it is no worse in all four and better in trust,
+completeness or provenance; layer 1 holds the undominated records, layer k
+those that only records of earlier layers dominate. Recency so keeps a record
+out of the shade of older ones, and cannot shade one that the policy prefers.
+The survivor is the best record of layer 1 by a lexicographic policy; each of
+its missing fields comes from the first layer that knows it, there again by
+the policy.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +24,7 @@ from pyspark.sql import types as T
 from ..functions.text import collapse_blanks, copy_markers, missing_to_null, spelled
 
 #: Fields of the survivor that successive layers fill.
-FILLED = ("make", "model", "capture_time", "software", "width", "height", "sha256_pixels")
+FILLED = ("make", "model", "capture_time", "software", "width", "height", "sha256_pixels", "capture_id", "camera")
 
 #: Marks of an edited picture in the software field.
 EDITORS = "photo editor|photoshop|gimp"
@@ -38,66 +42,62 @@ def latest_readings(captures: DataFrame) -> DataFrame:
     time = F.when(valid & F.try_to_timestamp(time, F.lit("yyyy:MM:dd HH:mm:ss")).isNotNull(), time)
     read = captures.where("item_id IS NOT NULL").select("item_id", "read_at", *texts, time.alias("capture_time"), "width", "height")
     latest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("read_at", c))).alias(c) for c in ("make", "model", "software", "capture_time", "width", "height")]
-    return read.groupBy("item_id").agg(*latest)
-
-
-def _survivors(groups: list[str]):
-    """Streams sorted records of one group after another; holds one group's running bests only."""
-    out_schema = None
-
-    def finish(key, best, fills, n, layers):
-        return {**dict(zip(groups, key)), "item_id": best[1], "relative_path": best[0][3], **{f: v for f, (_, v) in fills.items()}, "n_records": n, "n_layers": layers}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        cells: dict[tuple, int] = {}
-        for batch in batches:
-            for r in batch.to_pylist():
-                k = tuple(r[g] for g in groups)
-                if k != key:
-                    if key is not None:
-                        rows.append(finish(key, best, fills, n, layers))
-                    key, cells, best, n, layers = k, {}, None, 0, 0
-                    fills = {f: (None, None) for f in FILLED}
-                # Larger areas came before; equal ones in policy order.
-                layer = 1 + max((v for (e, m), v in cells.items() if e <= r["edited"] and m <= r["markers"]), default=0)
-                cell = (r["edited"], r["markers"])
-                cells[cell] = max(layer, cells.get(cell, 0))
-                policy = (r["edited"], -r["area"], r["markers"], r["relative_path"])
-                n, layers = n + r["n"], max(layers, layer)
-                if best is None or policy < best[0]:
-                    best = (policy, r["item_id"])
-                for f in FILLED:
-                    if r[f] is not None and (fills[f][0] is None or (layer, policy) < fills[f][0]):
-                        fills[f] = ((layer, policy), r[f])
-            if len(rows) >= 5000:
-                yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-                rows = []
-        if key is not None:
-            rows.append(finish(key, best, fills, n, layers))
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
-
-    def with_schema(schema: pa.Schema):
-        nonlocal out_schema
-        out_schema = schema
-        return run
-
-    return with_schema
+    return read.groupBy("item_id").agg(*latest, F.max("read_at").alias("read_at"))
+
+
+class Layers:
+    """Layers of one group, for vectors that come by falling area, then rising edit and copy marks.
+
+    Of each pair of edit and copy marks only the latest month that reached each
+    layer is held, so memory follows the number of layers.
+    """
+
+    def __init__(self) -> None:
+        self.cells: dict[tuple[int, int], list[int]] = {}  # per layer the negated latest month; rising
+        self.now, self.waiting = None, []
+
+    def layer(self, edited: int, area: int, markers: int, month: int) -> int:
+        # Equal vectors do not dominate each other, so they enter when the next one comes.
+        if self.now != (edited, area, markers):
+            for (e, _, m), when, depth in self.waiting:
+                held = self.cells.setdefault((e, m), [])
+                held += [-when] * (depth - len(held))
+                for k in range(depth - 1, -1, -1):
+                    if held[k] <= -when:
+                        break
+                    held[k] = -when
+            self.now, self.waiting = (edited, area, markers), []
+        depth = 1 + max((bisect_right(held, -month) for (e, m), held in self.cells.items() if e <= edited and m <= markers), default=0)
+        self.waiting.append((self.now, month, depth))
+        return depth
+
+
+def _layered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``layer`` to vectors that are sorted by ``family_id``, ``class_label`` and as Layers needs them."""
+    key, layers = None, Layers()
+    for batch in batches:
+        out = []
+        for family, label, *vector in zip(*(batch.column(c).to_pylist() for c in ("family_id", "class_label", "edited", "area", "markers", "month"))):
+            if (family, label) != key:
+                key, layers = (family, label), Layers()
+            out.append(layers.layer(*vector))
+        yield batch.append_column("layer", pa.array(out, pa.int32()))
 
 
 def survivors(curation: DataFrame, captures: DataFrame) -> DataFrame:
     """The surviving record of each family and class label, its fields filled.
 
-    Records with equal trust, area and markers fall together before the shuffle
-    (the smallest relative path stands for them, each field from the smallest
-    path that knows it), so a task streams only distinct dominance vectors of a
-    family, whatever its size. Rows without a family or an item are left out;
-    a missing class label is a label of its own; a missing path sorts last.
+    Records with equal trust, area, markers and month fall together before the
+    shuffle (the smallest relative path stands for them, each field from the
+    smallest path that knows it), so a task streams only distinct dominance
+    vectors of a family, whatever its size. Rows without a family or an item
+    are left out; a missing class label is a label of its own; a missing path
+    sorts last; an item without a reading is older than all others.
     """
     groups = ["family_id", "class_label"]
+    texts = [missing_to_null(c).alias(c) for c in ("sha256_pixels", "capture_id", "camera")]
     records = curation.select(
-        spelled("family_id").alias("family_id"), spelled("class_label").alias("class_label"), "item_id", missing_to_null("relative_path").alias("path"), missing_to_null("sha256_pixels").alias("sha256_pixels")
+        spelled("family_id").alias("family_id"), spelled("class_label").alias("class_label"), "item_id", missing_to_null("relative_path").alias("path"), *texts
     ).where("family_id IS NOT NULL AND item_id IS NOT NULL")
     records = records.withColumn("relative_path", F.coalesce("path", F.lit("\U0010ffff"))).withColumn("class_label", F.coalesce("class_label", F.lit("")))
     known = records.join(latest_readings(captures), "item_id", "left")
@@ -105,16 +105,19 @@ def survivors(curation: DataFrame, captures: DataFrame) -> DataFrame:
         known.withColumn("edited", F.coalesce(F.lower("software").rlike(EDITORS), F.lit(False)).cast("int"))
         .withColumn("area", F.coalesce(F.col("width").cast("long") * F.col("height"), F.lit(0)))
         .withColumn("markers", F.coalesce(copy_markers("path"), F.lit(0)))
+        .withColumn("month", F.coalesce(F.year("read_at") * 12 + F.month("read_at"), F.lit(0)))
     )
+
+    def known_first(order: list) -> list:
+        return [F.min_by(f, F.when(F.col(f).isNotNull(), F.struct(*order, f))).alias(f) for f in FILLED]
+
+    vector = ["edited", "area", "markers", "month"]
     order = F.struct("relative_path", "item_id")
-    vectors = ranked.groupBy(*groups, "edited", "area", "markers").agg(
-        F.min(order).alias("first"),
-        F.count_distinct("item_id").alias("n"),
-        *(F.min_by(f, F.when(F.col(f).isNotNull(), order)).alias(f) for f in FILLED),
-    )
-    vectors = vectors.select(*groups, "edited", "area", "markers", "first.relative_path", "first.item_id", "n", *FILLED)
-    kinds = {f.name: f.dataType for f in vectors.schema}
-    schema = T.StructType([T.StructField(c, kinds.get(c, T.LongType())) for c in (*groups, "item_id", "relative_path", *FILLED, "n_records", "n_layers")])
-    arrow = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[f.dataType.simpleString()]) for f in schema])
-    streamed = vectors.repartition(*groups).sortWithinPartitions(*groups, F.desc("area"), "edited", "markers", "relative_path")
-    return streamed.mapInArrow(_survivors(groups)(arrow), schema)
+    vectors = ranked.groupBy(*groups, *vector).agg(F.min(order).alias("first"), F.count_distinct("item_id").alias("n"), *known_first(["relative_path", "item_id"]))
+    vectors = vectors.select(*groups, *vector, "first.relative_path", "first.item_id", "n", *FILLED)
+    ordered = vectors.repartition(*groups).sortWithinPartitions(*groups, F.desc("area"), "edited", "markers", F.desc("month"))
+    layered = ordered.mapInArrow(_layered, T.StructType([*vectors.schema, T.StructField("layer", T.IntegerType())]))
+    policy = ["edited", (-F.col("area")).alias("less"), "markers", "relative_path", "item_id"]
+    best = F.min(F.when(F.col("layer") == 1, F.struct(*policy)))
+    out = layered.groupBy(*groups).agg(best.alias("best"), *known_first(["layer", *policy]), F.sum("n").alias("n_records"), F.max("layer").alias("n_layers"))
+    return out.select(*groups, "best.item_id", "best.relative_path", *FILLED, "n_records", "n_layers")
