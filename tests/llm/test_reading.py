@@ -51,8 +51,22 @@ def test_isotonic_is_the_nearest_rising_function():
 def test_markup_does_not_count():
     plain = "The cat sat on the mat and the dog ran to my box near the wall. " * 3
     marked = "<p>" + plain.replace("dog", "d0g") + "</p> [00:12] https://x.y/z"
-    (a, pa_, _, _), (b, pb, _, _) = R.measure([plain]), R.measure([marked])
-    assert pa_[0] and pb[0] and np.allclose(a, b, atol=0.05)
+    (a, shape_a, _, _), (b, shape_b, _, _) = R.measure([plain]), R.measure([marked])
+    assert np.allclose(a, b, atol=0.05) and np.allclose(shape_a, shape_b, atol=0.1)
+
+
+def test_prose_is_learned_from_graded_texts_among_others():
+    rng = random.Random(4)
+    prose = [text(rng, 1 + i % 5) for i in range(300)]
+    records = [rng.choice(["Train_%d,0,1\n", "%08x ", '{"n": %d, "m": 7} ', "= %d = "]) * 30 % tuple(rng.randrange(9999) for _ in range(30)) for _ in range(60)]
+    texts = prose + records + [None, ""]
+    _, shape, buckets, counts = R.measure(texts)
+    bags = np.zeros((len(texts), R.BUCKETS), np.float32)
+    np.add.at(bags, (np.repeat(np.arange(len(texts)), counts), buckets), 1)
+    bags /= np.maximum(bags.sum(1, keepdims=True), 1)
+    graded = np.arange(len(texts)) < 60  # a fifth of the prose; the rest is not marked
+    said = R.Prose(shape, bags, graded)(shape, buckets, counts)
+    assert said[:300].mean() > 0.99 and not said[300:].any()
 
 
 @pytest.mark.parametrize("bad", ["\ud800 half", "a" * 200_000])
