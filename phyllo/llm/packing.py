@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WEIGHTS = (1.0, 0.01, 0.01)
+WEIGHTS = (1.0, 0.25, 0.25)
 OUT = ["pack_name", "container_id", "doc_id", "piece", "tokens", "capacity_tokens"]
 
 
@@ -58,8 +58,8 @@ def pack(
     counts: DataFrame,
     capacities: DataFrame,
     shard_items: int = 8192,
-    documents_per_token: float = 0.125,
-    attention_share: float = 1.0,
+    documents_per_token: float = 1 / 128,
+    attention_share: float = 0.8,
     weights: tuple = WEIGHTS,
 ) -> DataFrame:
     """Containers of every capacity: ``pack_name``, ``container_id``, ``doc_id``, ``piece``, ``tokens``, ``capacity_tokens``.
@@ -69,6 +69,9 @@ def pack(
     items are spread over shards of about ``shard_items`` by a hash of their id
     and each shard is packed by itself: at most a few open containers per shard
     are lost against one global packing, and no task grows with the corpus.
+    A container holds one document for each 128 tokens of capacity, and squared
+    lengths up to ``attention_share`` of the squared capacity; an item that
+    exceeds this by itself has its container alone.
     Items without tokens are packed too and use up only a document's place.
     A null count is 0; a capacity that is null or below 1 holds nothing and is left out.
     """

@@ -54,6 +54,16 @@ def test_every_text_is_packed_and_only_long_ones_are_split(spark, clash):
         assert r.least_containers <= r.n_containers and 0.8 < r.fill_ratio <= 1
 
 
+def test_each_capacity_binds_by_default():
+    rng = random.Random(2)
+    sizes = sorted((min(511, int(rng.lognormvariate(5, 0.7))) for _ in range(4000)), reverse=True)
+
+    def boxes(documents=4, attention=int(0.8 * 512 * 512)):
+        return len(set(P.best_fit(sizes, 512, documents, attention)))
+
+    assert boxes() > boxes(documents=512) and boxes() > boxes(attention=512 * 512) and sum(sizes) / 512 / boxes() > 0.9
+
+
 def test_no_items_and_no_containers(spark):
     counts = spark.createDataFrame([], "doc_id long, tokens long")
     caps = spark.createDataFrame([("s", 100)], "pack_name string, capacity_tokens int")
