@@ -221,7 +221,7 @@ def _segments(grams: Grams):
     return run
 
 
-def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 2_000_000, small: int = 32, places: int = 1 << 22, step: int = 100_000, seeks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(group: np.ndarray, ids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, radius: int, most: int = 500_000, small: int = 32, places: int = 1 << 22, step: int = 100_000, seeks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row pairs of one group where some hash of one lies within ``radius`` of the first hash of the other.
 
     Where ``seeks`` is given, it is true for one row of each pair at least.
@@ -320,7 +320,7 @@ def shared_weight(codes: np.ndarray, counts: np.ndarray, left: np.ndarray, right
 OVERLAPS = "a long, b long, fragment int, shared double, lighter double"
 
 
-def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
+def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000, step: int = 150_000):
     """Partial overlap of each pair that meets in a fragment, from rows sorted by cell.
 
     Records of one name and the same hashes behave alike: the one with the
@@ -350,15 +350,21 @@ def _fragment_overlaps(grams: Grams, radius: int, rows: int = 40_000):
         group = cell[owner] << 16 | codes[at]
         place = np.argsort(group, kind="stable")
         at, owner = at[place], owner[place]
+        group = group[place]
         flat, lengths = _values(blob, np.uint64)
-        turns, _ = _spread(lengths, owner)
         held = 0
-        for left, right in close_pairs(group[place], ids[owner], flat[turns], lengths[owner], radius, seeks=marked[at] & 1 > 0):
-            left, right = owner[left], owner[right]
-            found.append(np.minimum(left, right) * len(ids) + np.maximum(left, right))
-            held += len(left)
-            if held > 1_000_000:
-                found, held = [np.unique(np.concatenate(found))], 0
+        # Whole n-grams, about ``step`` rows at a time: only theirs of the hashes are copied.
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(group) != 0])) if len(group) else np.empty(0, np.int64)
+        cuts = [*begin[np.concatenate([[True], np.diff(begin // step) != 0])].tolist(), len(group)] if len(group) else [0]
+        for low, high in zip(cuts, cuts[1:]):
+            mine = owner[low:high]
+            turns, _ = _spread(lengths, mine)
+            for left, right in close_pairs(group[low:high], ids[mine], flat[turns], lengths[mine], radius, seeks=marked[at[low:high]] & 1 > 0):
+                left, right = mine[left], mine[right]
+                found.append(np.minimum(left, right) * len(ids) + np.maximum(left, right))
+                held += len(left)
+                if held > 1_000_000:
+                    found, held = [np.unique(np.concatenate(found))], 0
         pairs = np.unique(np.concatenate(found))
         for begin in range(0, len(pairs), 200_000):
             left, right = np.divmod(pairs[begin : begin + 200_000], len(ids))
