@@ -95,22 +95,23 @@ def near_pairs(items: DataFrame, radius: int = 4) -> DataFrame:
     Only the first item of each content takes part. The distance of a pair is
     the least over the orientations and is at most ``radius`` (0 to 16). An
     equi-join on hash parts replaces the comparison of everything with
-    everything. Up to a radius of 8 a part has at least 7 bits; beyond, parts
-    are short and the join approaches a comparison of all pairs.
+    everything; it carries ids and hashes only, and what the pairs tell of
+    their items is joined to the pairs found. Up to a radius of 8 a part has at
+    least 7 bits; beyond, parts are short and the join approaches a comparison
+    of all pairs.
     """
     if not 0 <= radius <= 16:
         raise ValueError("the radius must be between 0 and 16")
-    firsts = first_occurrences(items).select("sha256_pixels", "first.*").where("size(hashes) > 0")
-    canon = firsts.select(
-        F.struct("item_id", "image_path", "source_dataset", "class_label").alias("f"), F.col("key").alias("key_a"), F.element_at("hashes", 1).alias("canonical")
-    )
-    canon = canon.withColumn("b", F.explode(_bands(F.col("canonical"), radius))).select("f", "key_a", "canonical", "b.band", "b.part")
-    turned = firsts.withColumn("turn", F.explode(F.array_distinct("hashes")))
-    turned = turned.withColumn("b", F.explode(_bands(F.col("turn"), radius))).select("key", "item_id", "image_path", "source_dataset", "class_label", "turn", "b.band", "b.part")
-    met = turned.join(canon, ["band", "part"]).where(F.col("key_a") < F.col("key")).withColumn("d", hamming("turn", "canonical")).where(F.col("d") <= radius)
-    pairs = met.select(*_pair("f", "perceptual_candidate", F.col("d")))
-    keys = [c for c in pairs.columns if c != "phash_distance"]
-    return pairs.groupBy(*keys).agg(F.min("phash_distance").alias("phash_distance"))
+    firsts = first_occurrences(items).select("first.*").where("size(hashes) > 0")
+    canon = firsts.select(F.col("item_id").alias("a"), F.explode(_bands(F.element_at("hashes", 1), radius)).alias("p"), F.element_at("hashes", 1).alias("canonical"))
+    turned = firsts.select(F.col("item_id").alias("b"), F.explode(F.array_distinct("hashes")).alias("turn"))
+    turned = turned.select("b", "turn", F.explode(_bands(F.col("turn"), radius)).alias("p"))
+    met = turned.select("b", "turn", "p.*").join(canon.select("a", "canonical", "p.*"), ["band", "part"]).where("a <> b")
+    near = met.withColumn("d", hamming("turn", "canonical")).where(F.col("d") <= radius).groupBy("a", "b").agg(F.min("d").alias("d"))
+    told = F.struct("key", "item_id", "image_path", "source_dataset", "class_label")
+    a = firsts.select(F.col("item_id").alias("a"), told.alias("f"))
+    b = firsts.select("key", "item_id", "image_path", "source_dataset", "class_label", F.col("item_id").alias("b"))
+    return near.join(a, "a").join(b, "b").where(F.col("f.key") < F.col("key")).select(*_pair("f", "perceptual_candidate", F.col("d")))
 
 
 def near_links(items: DataFrame, radius: int = 4) -> DataFrame:

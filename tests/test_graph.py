@@ -52,9 +52,19 @@ def test_components_of_any_graph(spark, edges):
     assert rows_of(components(spark, edges_df(spark, edges))) == sorted(union_find(edges), key=str)
 
 
-def test_group_digests_stream_sorted_members(spark):
+@pytest.mark.parametrize("piece", [1 << 20, 30])
+@pytest.mark.parametrize("parts", [1, 7])
+def test_group_digests_are_those_of_sorted_members(spark, parts, piece):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
     members = [(r, f"s:{i * 7919 % 1000}é") for r in (1, 2, 3) for i in range(r * 50)]
-    got = dict(rows_of(group_digests(spark.createDataFrame(members, "root long, member string").repartition(5), "g_")))
-    for root in (1, 2, 3):
+    members += [(r, "t:alone") for r in range(10, 40)]
+    try:
+        got = dict(rows_of(group_digests(spark.createDataFrame(members, "root long, member string").repartition(5), "g_", piece)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert len(got) == 33
+    for root in got:
         text = "\n".join(sorted(m for r, m in members if r == root))
         assert got[root] == "g_" + hashlib.sha256(text.encode()).hexdigest()[:16]
