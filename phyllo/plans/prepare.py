@@ -52,6 +52,7 @@ def prepare(
     conflicts: str = "raise",
     allow_partial: bool = False,
     seed: int = 42,
+    exact_split: bool = True,
     output: str | None = None,
 ) -> Prepared:
     """Link, clean, curate and split readable items.
@@ -61,7 +62,8 @@ def prepare(
     train unless all its items have reviewed groups; "deduplicate" keeps one
     representative per family and label, for which ``captures`` is needed.
     conflicts: "raise" or "exclude" items whose equal pixels have different
-    labels. Audit tables are written to ``output`` even if the run then fails;
+    labels. exact_split: the sequential split of one task, or the one by
+    rounds. Audit tables are written to ``output`` even if the run then fails;
     the manifest only after every check.
     """
     checks.check_radius(near_threshold)
@@ -114,7 +116,7 @@ def prepare(
     if not allow_partial:
         checks.enforce("all labels have pictures", checks.labels_without_rows(kept, labels))
     hold = None if reviewed or curation == "deduplicate" else curate.CURATED_SOURCE
-    splits = split.grouped_split(kept, seed, train_only_source=hold)
+    splits = split.grouped_split(kept, seed, train_only_source=hold, exact=exact_split)
     named = relate.with_group_ids(kept.join(splits, "root"))
     observed = label_tables.reindex(labels, kept)
     manifest = scratch.save(label_tables.with_label(named, observed).fillna("", ["official_group", "reviewed_group"]))

@@ -1,5 +1,7 @@
 from collections import Counter
 
+import pytest
+
 from phyllo.labels import labels
 from phyllo.operators import checks, split
 
@@ -13,18 +15,42 @@ def groups(spark, n, size, label="apple_scab", source="a"):
 
 def test_ten_groups_of_three(spark):
     rows = groups(spark, 10, 3)
-    a, b = (rows_of(split.grouped_split(r, 11)) for r in (rows, rows.repartition(6)))
+    a, b = (rows_of(split.grouped_split(r, 11, exact=True)) for r in (rows, rows.repartition(6)))
     assert a == b
     assert Counter(s for _, s in a) == {"train": 8, "val": 1, "test": 1}
 
 
 def test_train_only_source_and_rare_labels(spark):
     rows = groups(spark, 6, 2).unionByName(groups(spark, 2, 1, "peach_healthy", "m").withColumnRenamed("root", "r").selectExpr("item_id + 1000 as item_id", "concat('m', r) as root", "class_label", "source_dataset", "relative_path", "image_path"))
-    got = dict(rows_of(split.grouped_split(rows, 3, train_only_source="m")))
+    got = dict(rows_of(split.grouped_split(rows, 3, train_only_source="m", exact=True)))
     assert got["mg0"] == got["mg1"] == "train"
     assert set(got[f"g{i}"] for i in range(6)) == {"train", "val", "test"}
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_split_by_rounds(spark, hot):
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for g in range(1500):
+        for i in range(rng.choice([1, 1, 2, 3, 5, 9])):
+            rows.append((len(rows), f"g{g}", rng.choice(["a", "a", "b", None]) if g % 7 else "c", "m" if g % 50 == 0 else "s", f"{g}/{i}", f"/{g}/{i}"))
+    if hot:
+        rows += [(10**6 + i, "hot", "ab"[i % 2], "s", f"h/{i}", f"/h/{i}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "item_id long, root string, class_label string, source_dataset string, relative_path string, image_path string")
+    done = split.grouped_split(df, 5, train_only_source="m")
+    got = dict(rows_of(done))
+    assert len(got) == done.count() == df.select("root").distinct().count()
+    assert got == dict(rows_of(split.grouped_split(df.repartition(9), 5, train_only_source="m")))
+    assert all(got[r[1]] == "train" for r in rows if r[3] == "m")
+    for label in ("a", "b", "c", None):
+        mine = Counter(got[r[1]] for r in rows if r[2] == label)
+        for s, share in zip(split.SPLITS, split.FRACTIONS):
+            assert abs(mine[s] / sum(mine.values()) - share) < 0.02, (label, mine)
+    assert split.grouped_split(df.limit(0)).count() == 0
+
+
 def second_version(components, totals, seed):
     """The placing, written once more with plain lists."""
     import random
