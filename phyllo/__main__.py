@@ -1,4 +1,4 @@
-"""Command line: python -m phyllo prepare | evaluate | query."""
+"""Command line: python -m phyllo prepare | train | evaluate | predict | unpack | smoke | query."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--curation", choices=("train-only", "deduplicate"), default="train-only")
     a.add_argument("--allow-partial", action="store_true")
     a.add_argument("--exclude-conflicts", action="store_true")
+    a.add_argument("--split-by-rounds", action="store_true", help="split by all tasks in rounds, for components that no single task can hold")
     e = sub.add_parser("evaluate", help="metrics of a table of predictions")
     e.add_argument("--predictions", required=True, help="parquet with target, prediction, source_dataset")
     e.add_argument("--labels", required=True, help="labels.json of the manifest")
@@ -30,7 +31,22 @@ def parser() -> argparse.ArgumentParser:
     q.add_argument("name")
     q.add_argument("--data", required=True)
     q.add_argument("--output", help="write parquet there instead")
-    for x in (a, e, q):
+    t = sub.add_parser("train", help="fit a linear head on fixed features of the pictures")
+    t.add_argument("--manifest", required=True, help="output folder of prepare")
+    t.add_argument("--images", required=True, nargs="+", help="folders with the pictures")
+    t.add_argument("--output", required=True)
+    f = sub.add_parser("predict", help="labels of all pictures below some folders")
+    f.add_argument("--run", required=True, help="output folder of train")
+    f.add_argument("--images", required=True, nargs="+")
+    f.add_argument("--top", type=int, default=3)
+    u = sub.add_parser("unpack", help="unpack an archive after checking its inventory")
+    u.add_argument("kind", choices=("one-hot", "categories"))
+    u.add_argument("--archive", required=True)
+    u.add_argument("--output", required=True)
+    u.add_argument("--per-category", type=int, default=500)
+    s = sub.add_parser("smoke", help="make a small collection, prepare it, train on it and predict")
+    s.add_argument("--output", required=True)
+    for x in (a, e, q, t, f, u, s):
         x.add_argument("--master", help="Spark master; the environment's by default")
     return p
 
@@ -52,7 +68,7 @@ def check(args: argparse.Namespace) -> None:
 
 
 def run(args: argparse.Namespace) -> int:
-    from .session import get_session
+    from .session import clean, get_session
 
     spark = get_session(master=args.master)
     if args.command == "query":
@@ -60,6 +76,39 @@ def run(args: argparse.Namespace) -> int:
 
         df = queries()[args.name](spark, args.data)
         df.write.parquet(args.output) if args.output else df.show(20, False)
+        clean(spark)
+        return 0
+    if args.command in ("train", "predict"):
+        from .plans import head
+
+        if args.command == "train":
+            print(head.train(spark, args.manifest, args.images, args.output))
+        else:
+            head.predict(spark, args.run, args.images, args.top).orderBy("image_path", "rank").show(60, False)
+        clean(spark)
+        return 0
+    if args.command == "unpack":
+        from . import labels
+        from .sources import archives
+
+        if args.kind == "one-hot":
+            done = archives.unpack_one_hot(spark, args.archive, args.output, list(labels.SOURCE_LABELS["cornell"]))
+        else:
+            categories = labels.label_map(spark).where("source_dataset = 'mangoleafbd'").selectExpr("source_label AS category")
+            done = archives.unpack_categories(spark, args.archive, args.output, categories, args.per_category)
+        print({k: v for k, v in done.items() if k != "files"})
+        return 0
+    if args.command == "smoke":
+        from .plans import head
+        from .sources import synthetic
+
+        root = f"{args.output}/sources"
+        synthetic.make_sources(root, tinted=True)
+        again = ["prepare", "--folders", f"{root}/plantvillage", "--one-hot", f"{root}/cornell", "--ancestors", f"{root}/mangoleafbd", "--groups", f"{root}/groups.csv", "--output", f"{args.output}/prepared"]
+        run(parser().parse_args(again))
+        print(head.train(spark, f"{args.output}/prepared", [f"{root}/{s}" for s in ("plantvillage", "cornell", "mangoleafbd")], f"{args.output}/run"))
+        head.predict(spark, f"{args.output}/run", [f"{root}/cornell"]).orderBy("image_path", "rank").show(6, False)
+        clean(spark)
         return 0
     if args.command == "evaluate":
         from .plans.evaluate import save_reports
@@ -71,6 +120,8 @@ def run(args: argparse.Namespace) -> int:
 
     from . import labels
     from .operators import relate
+    from .operators.checks import enforce
+    from .operators.curate import CURATED_SOURCE
     from .plans import prepare as plan
     from .sources import images, importers, tables
 
@@ -97,13 +148,17 @@ def run(args: argparse.Namespace) -> int:
     items, bad = plan.fingerprinted(spark, rows, files)
     captures = None
     if args.curation == "deduplicate":
-        read = images.capture_metadata(files).drop("width", "height")
+        read = images.capture_metadata(files)
+        mine = items.where(F.col("source_dataset") == CURATED_SOURCE).select("image_path")
+        enforce("capture metadata can be read", read.where("error IS NOT NULL").join(mine, "image_path", "left_semi").select("image_path", "error"))
+        read = read.drop("width", "height", "error")
         captures = items.select("item_id", "image_path", "width", "height").join(read, "image_path").withColumn("read_at", F.current_timestamp())
     done = plan.prepare(
         spark, items, bad, captures, near_threshold=args.near_threshold, curation=args.curation, conflicts="exclude" if args.exclude_conflicts else "raise",
-        allow_partial=args.allow_partial, seed=args.seed, output=args.output,
+        allow_partial=args.allow_partial, seed=args.seed, exact_split=not args.split_by_rounds, output=args.output,
     )
     print({k: done.report[k] for k in ("imported_images", "retained_images", "groups", "by_split")})
+    clean(spark)
     return 0
 
 

@@ -18,10 +18,10 @@ import pyarrow as pa
 
 
 def decode_png(data: bytes) -> np.ndarray:
-    """RGB pixels of an 8-bit, not interlaced PNG."""
+    """Upright RGB pixels of an 8-bit, not interlaced PNG."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("no PNG signature")
-    at, body, palette, head = 8, [], None, None
+    at, body, palette, head, orientation = 8, [], None, None, 1
     while at + 8 <= len(data):
         size, kind = struct.unpack(">I4s", data[at : at + 8])
         part = data[at + 8 : at + 8 + size]
@@ -31,6 +31,8 @@ def decode_png(data: bytes) -> np.ndarray:
             head = struct.unpack(">IIBBBBB", part)
         elif kind == b"PLTE":
             palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
+        elif kind == b"eXIf":
+            orientation = exif_fields(part).get("orientation", 1)
         elif kind == b"IDAT":
             body.append(part)
         elif kind == b"IEND":
@@ -70,8 +72,8 @@ def decode_png(data: bytes) -> np.ndarray:
     if colour == 3:
         if palette is None:
             raise ValueError("PNG without palette")
-        return palette[pixels[:, :, 0]]
-    return np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, :3].copy()
+        return upright(palette[pixels[:, :, 0]], orientation)
+    return upright(np.repeat(pixels[:, :, :1], 3, 2) if channels < 3 else pixels[:, :, :3].copy(), orientation)
 
 
 def encode_png(rgb: np.ndarray) -> bytes:
@@ -87,12 +89,12 @@ def encode_png(rgb: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    """Upright RGB pixels of a picture file."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n":
-        return decode_png(data)
+    """Upright RGB pixels of a picture file, by an imaging library if one is installed."""
     try:
         from PIL import Image, ImageOps
     except ImportError as e:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return decode_png(data)
         raise ValueError("no decoder for this format") from e
     with Image.open(io.BytesIO(data)) as picture:
         return np.asarray(ImageOps.exif_transpose(picture).convert("RGB"))
@@ -170,8 +172,30 @@ EXIF_TAGS = {271: "make", 272: "model", 305: "software", 274: "orientation", 368
 EXIF_BLOCK = 34665
 
 
+def exif_fields(body: bytes) -> dict[str, object]:
+    """Fields of an EXIF block."""
+    out: dict[str, object] = {}
+    order = {b"II": "<", b"MM": ">"}[body[:2]]
+
+    def directory(start: int) -> None:
+        (count,) = struct.unpack(order + "H", body[start : start + 2])
+        for k in range(count):
+            tag, kind, n, raw = struct.unpack(order + "HHI4s", body[start + 2 + 12 * k : start + 14 + 12 * k])
+            if tag == EXIF_BLOCK:
+                directory(struct.unpack(order + "I", raw)[0])
+            elif tag in EXIF_TAGS and kind == 2:
+                where = struct.unpack(order + "I", raw)[0]
+                text = raw[:n] if n <= 4 else body[where : where + n]
+                out[EXIF_TAGS[tag]] = text.split(b"\0")[0].decode("utf-8", "replace")
+            elif tag in EXIF_TAGS and kind in (3, 4):
+                out[EXIF_TAGS[tag]] = struct.unpack(order + ("H" if kind == 3 else "I"), raw[: 2 if kind == 3 else 4])[0]
+
+    directory(struct.unpack(order + "I", body[4:8])[0])
+    return out
+
+
 def read_exif(data: bytes) -> dict[str, object]:
-    """EXIF fields of a JPEG file; empty if there are none or they are broken."""
+    """EXIF fields of a JPEG file; empty if there are none, with an ``error`` if they are broken."""
     out: dict[str, object] = {}
     try:
         at = 2
@@ -179,40 +203,24 @@ def read_exif(data: bytes) -> dict[str, object]:
             marker, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
             part = data[at + 4 : at + 2 + size]
             if marker == 0xE1 and part[:6] == b"Exif\0\0":
-                body = part[6:]
-                order = {b"II": "<", b"MM": ">"}[body[:2]]
-
-                def directory(start: int) -> None:
-                    (count,) = struct.unpack(order + "H", body[start : start + 2])
-                    for k in range(count):
-                        tag, kind, n, raw = struct.unpack(order + "HHI4s", body[start + 2 + 12 * k : start + 14 + 12 * k])
-                        if tag == EXIF_BLOCK:
-                            directory(struct.unpack(order + "I", raw)[0])
-                        elif tag in EXIF_TAGS and kind == 2:
-                            where = struct.unpack(order + "I", raw)[0]
-                            text = raw[:n] if n <= 4 else body[where : where + n]
-                            out[EXIF_TAGS[tag]] = text.split(b"\0")[0].decode("utf-8", "replace")
-                        elif tag in EXIF_TAGS and kind in (3, 4):
-                            out[EXIF_TAGS[tag]] = struct.unpack(order + ("H" if kind == 3 else "I"), raw[: 2 if kind == 3 else 4])[0]
-
-                directory(struct.unpack(order + "I", body[4:8])[0])
+                out.update(exif_fields(part[6:]))
             if marker in (0xC0, 0xC1, 0xC2):
                 out["height"], out["width"] = struct.unpack(">HH", part[1:5])
                 break
             if marker == 0xDA:
                 break
             at += 2 + size
-    except (struct.error, KeyError, IndexError, RecursionError):
-        pass
+    except (struct.error, KeyError, IndexError, RecursionError) as e:
+        out["error"] = f"broken metadata: {type(e).__name__}"
     return out
 
 
-EXIF_SCHEMA = "make string, model string, capture_time string, software string, width int, height int, orientation int"
+EXIF_SCHEMA = "make string, model string, capture_time string, software string, width int, height int, orientation int, error string"
 
 
 def exif_frame(content: pd.Series) -> pd.DataFrame:
     """EXIF fields of a batch of files, for a vectorised UDF of type EXIF_SCHEMA."""
     rows = [read_exif(c or b"") for c in content]
-    names = ("make", "model", "capture_time", "software", "width", "height", "orientation")
+    names = ("make", "model", "capture_time", "software", "width", "height", "orientation", "error")
     frame = pd.DataFrame([[r.get(k) for k in names] for r in rows], columns=list(names))
-    return frame.astype({k: "Int32" for k in names[4:]})
+    return frame.astype({k: "Int32" for k in names[4:7]})

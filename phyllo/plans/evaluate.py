@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +35,7 @@ def save_reports(spark: SparkSession, output: str, predictions: DataFrame, label
     summary["missing_classes"] = [r["class_label"] for r in done["per_class"].where("support = 0").orderBy("label_index").collect()]
     if "by_source" in done:
         summary["by_source"] = {r["source_dataset"]: r.asDict() for r in done["by_source"].collect()}
-    tables.write_csv(done["per_class"], f"{output}/per_class", ("label_index", "class_label", "tree_type", "condition", "support", "precision", "recall", "f1"), ("label_index",))
+    tables.write_csv(done["per_class"], f"{output}/per_class", ("label_index", "class_label", "tree_type", "condition", "support", "precision", "recall", "f1"), ("label_index",), single=True)
     wide = metrics.confusion_wide(done["confusion"], labels)
     wide.coalesce(1).write.csv(f"{output}/confusion_matrix", header=True)
     tables.write_json(spark, f"{output}/metrics.json", summary)
@@ -72,10 +73,15 @@ def predict(model, rows: DataFrame, labels: DataFrame, top: int = 3) -> DataFram
 
 
 def write_run(spark: SparkSession, output: str, config: dict, manifest: str, history: DataFrame) -> dict:
-    """run_config.json with the SHA-256 of the manifest's files, and history.json."""
+    """run_config.json with one SHA-256 of the manifest and those of its files, and history.json.
+
+    A manifest of one file has that file's digest; one of several files has the
+    digest of their digests, one a line, in the order of their names.
+    """
     files = spark.read.format("binaryFile").load(manifest).where(~F.element_at(F.split("path", "/"), -1).rlike("^[._]"))
     hashes = [r["h"] for r in files.select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()]  # one row per file of the manifest
-    record = {**config, "manifest_sha256": hashes}
+    whole = hashes[0] if len(hashes) == 1 else hashlib.sha256("\n".join(hashes).encode()).hexdigest()
+    record = {**config, "manifest_sha256": whole, "manifest_files": hashes}
     tables.write_json(spark, f"{output}/run_config.json", record)
     tables.write_json(spark, f"{output}/history.json", [r.asDict(True) for r in history.orderBy("epoch").collect()])
     return record

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+#: The fields of the published files, in their order.
 MANIFEST_FIELDS = (
     "image_path", "source_dataset", "tree_type", "condition", "class_label", "group_id", "split",
     "relative_path", "sha256_pixels", "official_group", "reviewed_group",

@@ -43,16 +43,36 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder; all its scratch tables lie there."""
+    return f"{shared_dir(spark)}/phyllo-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application.
+
+    Results are lazy reads of them, so this is for after they are written. What
+    a run leaves that ends before is one folder with the application's id.
+    """
+    _delete(spark, run_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of any executor, is columnar and smaller
     than an RDD checkpoint, and can be dropped as soon as no plan reads it.
+    ``clean`` deletes those of a whole application.
     """
 
     def __init__(self, spark: SparkSession, label: str = "scratch"):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
 
     def save(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -71,12 +91,7 @@ class Scratch:
         for table in tables:
             path = getattr(table, "_phyllo_path", None)
             if path:
-                self._delete(path)
+                _delete(self.spark, path)
 
     def close(self) -> None:
-        self._delete(self.root)
-
-    def _delete(self, path: str) -> None:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(self.spark, self.root)

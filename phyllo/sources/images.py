@@ -46,7 +46,7 @@ def fingerprints(images: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def capture_metadata(images: DataFrame) -> DataFrame:
-    """EXIF fields of each JPEG: make, model, capture_time, software, width and height as raw values."""
+    """EXIF fields of each JPEG: make, model, capture_time, software, width and height as raw values, and ``error`` where they are broken."""
     fields = F.pandas_udf(exif_frame, EXIF_SCHEMA)("content")
     return images.select("image_path", fields.alias("e")).select("image_path", "e.*")
 

@@ -31,9 +31,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str, labels: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """A manifest with the index of each row's label as ``target``; every constraint is checked.
 
+    A relative ``image_path`` is meant below the folder that holds the manifest.
     files: known ``image_path`` values, if the existence of files is to be checked.
     """
     rows = read_csv(spark, path, schemas.MANIFEST_REQUIRED)
+    folder = path.rstrip("/").rsplit("/", 1)[0] if "/" in path.rstrip("/") else "."
+    whole = F.col("image_path").rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*://)") | (F.col("image_path") == "")
+    rows = rows.withColumn("image_path", F.when(whole, F.col("image_path")).otherwise(F.concat(F.lit(folder + "/"), F.col("image_path"))))
     broken = checks.manifest_violations(rows, labels, spark, files).where("violations > 0 AND constraint NOT IN ('splits_filled', 'labels_in_train')")
     checks.enforce("manifest", broken)
     if not rows.limit(1).count():
@@ -53,14 +57,16 @@ def guard_output(spark: SparkSession, path: str) -> None:
         raise FileExistsError(f"{path} is not empty")
 
 
-def write_csv(df: DataFrame, path: str, fields: tuple[str, ...], order: tuple[str, ...] = ()) -> None:
-    """One CSV part with a header, also for an empty table; only ``fields``, in their order.
+def write_csv(df: DataFrame, path: str, fields: tuple[str, ...], order: tuple[str, ...] = (), single: bool = False) -> None:
+    """CSV parts with a header each, also for an empty table; only ``fields``, in their order.
 
-    For files that people read. Large tables are better written as parquet.
+    With ``order`` the parts are ranges of the sorted table, so their names give
+    its order. ``single`` makes one part of a dimension or another small table.
     """
     out = schemas.require(df, fields, path)
     out = out.orderBy(*order) if order else out
-    out.select(*fields).coalesce(1).write.mode("errorifexists").csv(path, header=True, emptyValue="", quoteAll=False)
+    out = out.select(*fields)
+    (out.coalesce(1) if single else out).write.mode("errorifexists").csv(path, header=True, emptyValue="", quoteAll=False)
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -78,7 +78,7 @@ def test_a_run_is_written_and_read_back(spark, said, three, tmp_path):
     history = spark.createDataFrame([(1, 0.4), (2, 0.6)], "epoch int, macro_f1 double")
     evaluate.write_run(spark, out, {"seed": 42}, manifest, history)
     run = evaluate.read_run(spark, out)
-    assert run["metrics"]["n"] == summary["n"] == 6 and run["metrics"]["missing_classes"] == ["z"] and len(run["config"]["manifest_sha256"]) == 1
+    assert run["metrics"]["n"] == summary["n"] == 6 and run["metrics"]["missing_classes"] == ["z"] and run["config"]["manifest_files"] == [run["config"]["manifest_sha256"]]
     best = spark.createDataFrame([(2, 0.6)], "epoch int, macro_f1 double")
     evaluate.check_run(run["history"], run["confusion"], run["per_class"], three, best, run["metrics"]["n"])
     with pytest.raises(FileExistsError):

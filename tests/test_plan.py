@@ -13,40 +13,16 @@ from phyllo.functions.images import encode_png
 from phyllo.operators import checks
 from phyllo.plans.prepare import prepare
 from phyllo.sources import tables
+from phyllo.sources.synthetic import make_sources
 
 from .conftest import rows_of
 from .test_sources import picture, put
 
 
-def make_sources(root, leaves=3):
-    """Every source label has some leaves with two views each, the second mirrored."""
-    seed = 0
-    reviewed, hot = [], []
-    for source, names in L.SOURCE_LABELS.items():
-        for k, name in enumerate(names):
-            for leaf in range(leaves):
-                seed += 1
-                rgb = picture(seed)
-                for view, pixels in enumerate((rgb, rgb[:, ::-1])):
-                    file = f"Train_{len(hot)}.png" if source == "cornell" else f"{k}_{leaf}_{view}.png"
-                    folder = "images" if source == "cornell" else name
-                    put(f"{root}/{source}/{folder}/{file}", encode_png(np.ascontiguousarray(pixels)))
-                    reviewed.append((source, f"{folder}/{file}", f"{source}-{k}-{leaf}"))
-                    if source == "cornell":
-                        hot.append((file[:-4], *(int(c == name) for c in names)))
-    put(f"{root}/cornell/images/Test_0.png", encode_png(picture(9999)))
-    put(f"{root}/plantvillage/Apple___healthy/broken.png", b"no picture")
-    with open(f"{root}/cornell/train.csv", "w") as f:
-        csv.writer(f).writerows([("image_id", *L.SOURCE_LABELS["cornell"]), *hot])
-    with open(f"{root}/groups.csv", "w") as f:
-        csv.writer(f).writerows([("source_dataset", "image_path", "group_id"), *reviewed])
-    return len(reviewed)
-
-
 @pytest.fixture(scope="module")
 def sources(tmp_path_factory):
     root = str(tmp_path_factory.mktemp("sources"))
-    return root, make_sources(root)
+    return root, make_sources(root, leaves=3)
 
 
 def run(root, out, *more):
