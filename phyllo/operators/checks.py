@@ -64,6 +64,12 @@ def not_exactly_one(wanted: DataFrame, found: DataFrame, *keys: str) -> DataFram
     return wanted.select(*keys).distinct().join(counts, list(keys), "left").fillna(0, ["matches"]).where("matches <> 1")
 
 
+def set_differences(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Keys that only one of two tables has, with the side that has it in ``only_in``; none if the sets are equal."""
+    a, b = (t.select(*keys).distinct() for t in (left, right))
+    return a.join(b, list(keys), "left_anti").withColumn("only_in", F.lit("left")).unionByName(b.join(a, list(keys), "left_anti").withColumn("only_in", F.lit("right")))
+
+
 def empty_splits(rows: DataFrame, spark: SparkSession) -> DataFrame:
     """Splits without rows; all three if the table is empty."""
     wanted = spark.createDataFrame([(s,) for s in SPLITS], "split string")

@@ -245,10 +245,6 @@ def oracle_sql() -> dict[str, str]:
     q["counts_by_split"] = f"WITH {MANIFEST} SELECT split, count(*) AS n FROM m GROUP BY 1"
     q["groups_by_split"] = f"""WITH {MANIFEST} SELECT split, count(DISTINCT group_id) AS n_groups FROM m GROUP BY 1
         UNION ALL SELECT '(all)', count(DISTINCT group_id) FROM m"""
-    q["missing_classes"] = f"""WITH {MANIFEST}, r AS (SELECT * FROM m WHERE group_id IS NOT NULL AND class_label <> 'apple_multiple_diseases' AND (split <> 'test' OR tree_type <> 'cherry'))
-        SELECT 'all' AS scope, class_label FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM r)
-        UNION ALL SELECT s.split, c.class_label FROM (SELECT DISTINCT class_label FROM r) c, (VALUES ('train'), ('val'), ('test')) s(split)
-        WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.class_label = c.class_label AND r.split = s.split)"""
     q["duplicate_stats"] = f"""WITH {ITEMS}, {FIRSTS}, {EXACT}, {NEAR}, {CONFLICTING}
         SELECT (SELECT count(DISTINCT item_id) FROM bad_images) AS unreadable_images, (SELECT count(*) FROM exact) AS exact_duplicate_pairs,
         (SELECT count(*) FROM near) AS perceptual_candidate_pairs, (SELECT count(*) FROM near WHERE label_a <> label_b) AS cross_label_perceptual_candidates,
@@ -278,7 +274,6 @@ def oracle_sql() -> dict[str, str]:
     q["file_receipts"] = "SELECT doc_id, sha256(text) AS sha256, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL"
     q["imports_over_time"] = f"""SELECT date_trunc('hour', imported_at) AS hour, source_dataset, count(*) AS n, count(*) FILTER ({_missing("sha256_pixels")} IS NULL) AS n_unreadable
         FROM items WHERE imported_at IS NOT NULL GROUP BY ALL"""
-    q["component_histogram"] = f"WITH {MANIFEST} SELECT group_id AS root, class_label, count(*) AS n FROM m WHERE group_id IS NOT NULL GROUP BY ALL"
     q["split_targets"] = f"""WITH {MANIFEST} SELECT class_label, s.split, round(count(*) * s.fraction::DOUBLE, 6) AS target
         FROM m, (VALUES ('train', 0.8), ('val', 0.1), ('test', 0.1)) s(split, fraction) GROUP BY class_label, s.split, s.fraction"""
     q["confusion"] = f"WITH {PREDICTIONS} SELECT target, prediction, n FROM cm"
@@ -294,20 +289,13 @@ def oracle_sql() -> dict[str, str]:
     q["history_epochs"] = f"""WITH {HISTORY}, rows_of AS (SELECT count(*) AS n FROM hist)
         SELECT e.epoch::BIGINT AS epoch, 0::BIGINT AS n FROM rows_of, range(1, n + 1) e(epoch) WHERE e.epoch NOT IN (SELECT epoch FROM hist)
         UNION ALL SELECT epoch, 1 FROM hist, rows_of WHERE epoch < 1 OR epoch > rows_of.n"""
-    q["ordered_rows"] = f"WITH {ITEMS} SELECT item_id, row_number() OVER (ORDER BY k) - 1 AS ord FROM it WHERE source_dataset IS NOT NULL AND relative_path IS NOT NULL"
     q["limit_per_class"] = f"WITH {ITEMS} SELECT item_id, class_label FROM it QUALIFY row_number() OVER (PARTITION BY class_label ORDER BY relative_path, item_id) <= 3"
     q["path_union"] = "SELECT image_path FROM bad_images WHERE image_path IS NOT NULL UNION SELECT image_path FROM mango_captures WHERE image_path IS NOT NULL"
     q["path_difference"] = "SELECT item_id FROM items EXCEPT SELECT item_id FROM manifest"
     q["unknown_splits"] = f"WITH {TOLD} SELECT split, count(*) AS n FROM told WHERE split IS NULL OR split NOT IN ('train', 'val', 'test') GROUP BY 1"
-    q["unknown_labels"] = f"WITH {TOLD} SELECT class_label, count(*) AS n FROM told WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels WHERE tree_type <> 'orange') GROUP BY 1"
-    q["label_parts_disagree"] = """SELECT DISTINCT t.label_b AS class_label, i.item_id, i.tree_type, i.condition FROM match_pairs t JOIN items i ON i.item_id = t.item_id_a JOIN class_labels c ON c.class_label = t.label_b
-        WHERE i.tree_type IS DISTINCT FROM c.tree_type OR i.condition IS DISTINCT FROM c.condition"""
     q["without_group_or_source"] = f"WITH {TOLD} SELECT DISTINCT item_id FROM told WHERE coalesce(group_id, '') = '' OR coalesce(source_dataset, '') = ''"
     q["groups_across_splits"] = f"WITH {MANIFEST} SELECT group_id, count(DISTINCT split) AS n_splits FROM m WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1"
     q["repeated_paths"] = "SELECT image_path, count(*) AS n FROM manifest GROUP BY 1 HAVING count(*) > 1"
-    q["empty_splits"] = f"""WITH {MANIFEST} SELECT s.split FROM (VALUES ('train'), ('val'), ('test')) s(split)
-        WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.split = s.split AND class_label = 'cherry_healthy' AND m.split <> 'val')"""
-    q["labels_without_training"] = f"WITH {MANIFEST} SELECT class_label FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM m WHERE source_dataset = 'cornell' AND split = 'train')"
     q["one_hot_violations"] = f"""WITH {ITEMS}, t AS (SELECT {STEM.format("image_path")} AS image_id, class_label IN ({", ".join(f"'{v}'" for v in _HOT.values())}) AS one FROM it WHERE source_dataset = 'cornell'),
         c AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM t),
         p AS (SELECT CASE WHEN NOT coalesce(starts_with(image_id, 'Train_'), false) THEN 'unexpected id' WHEN n > 1 THEN 'repeated id' WHEN NOT coalesce(one, false) THEN 'not one-hot' END AS problem FROM c)
@@ -316,7 +304,7 @@ def oracle_sql() -> dict[str, str]:
         f AS (SELECT lower({STEM.format("image_path")}) AS name FROM ok WHERE image_path IS NOT NULL)
         SELECT b.name, count(f.name) AS matches FROM b LEFT JOIN f USING (name) GROUP BY 1 HAVING count(f.name) <> 1"""
     q["inventory_violations"] = f"""WITH {ITEMS}, f AS (SELECT regexp_replace(relative_path, '/lot_[0-9]+/', '/') AS path FROM it WHERE source_dataset = 'mangoleafbd'),
-        c AS (SELECT source_label AS category FROM label_map WHERE source_dataset = 'mangoleafbd' AND source_label <> 'Healthy'),
+        c AS (SELECT source_label AS category FROM label_map WHERE source_dataset = 'mangoleafbd'),
         d AS (SELECT string_split(path, '/')[-2] AS category FROM f),
         p AS (
             SELECT 'unsafe path' AS problem, 1 AS n FROM f WHERE path IS NULL OR len(string_split(path, '/')) <> 2 OR starts_with(path, '/')
@@ -327,17 +315,7 @@ def oracle_sql() -> dict[str, str]:
     q["support_disagrees"] = f"""WITH {PREDICTIONS}, {MANIFEST}, s AS (SELECT label_index, count(*) AS support FROM m JOIN class_labels USING (class_label) GROUP BY 1),
         w AS (SELECT target AS label_index, sum(n)::BIGINT AS row_sum FROM cm GROUP BY 1)
         SELECT label_index, support, row_sum FROM s FULL JOIN w USING (label_index) WHERE coalesce(support, 0) <> coalesce(row_sum, 0)"""
-    q["manifest_violations"] = f"""WITH {MANIFEST}
-        SELECT 'split_known' AS "constraint", count(*) AS violations FROM m WHERE split IS NULL
-        UNION ALL SELECT 'class_known', count(*) FROM m WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels)
-        UNION ALL SELECT 'label_parts', count(*) FROM m JOIN class_labels c USING (class_label) WHERE m.tree_type IS DISTINCT FROM c.tree_type OR m.condition IS DISTINCT FROM c.condition
-        UNION ALL SELECT 'group_and_source', count(*) FROM m WHERE coalesce(group_id, '') = '' OR coalesce(source_dataset, '') = ''
-        UNION ALL SELECT 'group_in_one_split', count(*) FROM (SELECT group_id FROM m WHERE group_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1)
-        UNION ALL SELECT 'path_unique', count(*) FROM (SELECT image_path FROM m GROUP BY 1 HAVING count(*) > 1)
-        UNION ALL SELECT 'splits_filled', 3 - count(DISTINCT split) FROM m
-        UNION ALL SELECT 'labels_in_train', count(*) FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM m WHERE split = 'train' AND class_label IS NOT NULL)
-        UNION ALL SELECT 'file_exists', count(*) FROM m WHERE image_path IS NULL OR image_path NOT IN (SELECT image_path FROM items WHERE image_path IS NOT NULL)"""
-    q["manifest_violations_all_rows"] = f"""WITH {WRITTEN}
+    q["manifest_violations"] = f"""WITH {WRITTEN}
         SELECT 'split_known' AS "constraint", count(*) AS violations FROM w WHERE split IS NULL
         UNION ALL SELECT 'class_known', count(*) FROM w WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels)
         UNION ALL SELECT 'label_parts', count(*) FROM w JOIN class_labels c USING (class_label) WHERE w.tree_type IS DISTINCT FROM c.tree_type OR w.condition IS DISTINCT FROM c.condition
@@ -347,11 +325,34 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT 'splits_filled', 3 - count(DISTINCT split) FROM w
         UNION ALL SELECT 'labels_in_train', count(*) FROM class_labels WHERE class_label NOT IN (SELECT class_label FROM w WHERE split = 'train' AND class_label IS NOT NULL)
         UNION ALL SELECT 'file_exists', count(*) FROM w WHERE image_path IS NULL OR image_path NOT IN (SELECT image_path FROM items WHERE image_path IS NOT NULL)"""
-    q["missing_classes_all_rows"] = f"""WITH {WRITTEN}
+    q["missing_classes"] = f"""WITH {WRITTEN}
         SELECT 'all' AS scope, class_label FROM class_labels c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label)
         UNION ALL SELECT s.split, c.class_label FROM class_labels c, (VALUES ('train'), ('val'), ('test')) s(split)
         WHERE EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label) AND NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = s.split)"""
-    q["unknown_labels_all_rows"] = "SELECT class_label, count(*) AS n FROM manifest WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels) GROUP BY 1"
-    q["empty_splits_all_rows"] = f"WITH {WRITTEN} SELECT s.split FROM (VALUES ('train'), ('val'), ('test')) s(split) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.split = s.split)"
-    q["labels_without_training_all_rows"] = f"WITH {WRITTEN} SELECT class_label FROM class_labels c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = 'train')"
+    q["unknown_labels"] = "SELECT class_label, count(*) AS n FROM manifest WHERE class_label IS NULL OR class_label NOT IN (SELECT class_label FROM class_labels) GROUP BY 1"
+    q["empty_splits"] = f"WITH {WRITTEN} SELECT s.split FROM (VALUES ('train'), ('val'), ('test')) s(split) WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.split = s.split)"
+    q["labels_without_training"] = f"WITH {WRITTEN} SELECT class_label FROM class_labels c WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.class_label = c.class_label AND w.split = 'train')"
+    q["label_parts_disagree"] = """SELECT DISTINCT m.class_label, item_id, m.tree_type, m.condition FROM manifest m JOIN class_labels c USING (class_label)
+        WHERE m.tree_type IS DISTINCT FROM c.tree_type OR m.condition IS DISTINCT FROM c.condition"""
+    q["ordered_rows"] = f"WITH {ITEMS} SELECT item_id, row_number() OVER (ORDER BY k) - 1 AS ord FROM it"
+    grouped = f"{MANIFEST}, grouped AS (SELECT item_id, class_label, coalesce(group_id, 'item:' || item_id) AS root FROM m)"
+    q["component_histogram"] = f"WITH {grouped} SELECT root, class_label, count(*) AS n FROM grouped GROUP BY ALL"
+    q["hash_split"] = f"""WITH {grouped}, spots AS (SELECT ('0x' || substr(md5(root || ':42'), 1, 12))::BIGINT / 281474976710656.0 AS spot FROM grouped)
+        SELECT CASE WHEN spot < 0.8 THEN 'train' WHEN spot < 0.9 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM spots GROUP BY 1"""
+    q["split_properties"] = """SELECT way, property, 0::BIGINT AS n FROM (VALUES ('sequential'), ('rounds')) w(way),
+        (VALUES ('groups parted or left out'), ('labels without all splits'), ('splits off their share')) p(property)"""
+    q["matrix_violations"] = f"""WITH {PREDICTIONS}, known AS (SELECT label_index FROM class_labels)
+        SELECT target::BIGINT AS target, prediction::BIGINT AS prediction, n FROM cm WHERE n < 0 OR target NOT IN (FROM known) OR prediction NOT IN (FROM known)"""
+    q["totals_disagree"] = f"""WITH {PREDICTIONS}, {MANIFEST}, t AS (SELECT 'matrix' AS total_of, (SELECT count(*) FROM pr) AS n UNION ALL SELECT 'manifest', (SELECT count(*) FROM m) UNION ALL SELECT 'support', (SELECT count(*) FROM pr))
+        SELECT * FROM t WHERE (SELECT count(DISTINCT n) FROM t) > 1"""
+    q["checkpoint_disagrees"] = f"""WITH {HISTORY}, last AS (SELECT * FROM hist ORDER BY epoch DESC LIMIT 1), best AS (SELECT epoch AS best_epoch, macro_f1 AS best_f1 FROM hist ORDER BY macro_f1 DESC, epoch LIMIT 1)
+        SELECT * FROM last, best WHERE epoch <> best_epoch OR abs(macro_f1 - best_f1) > 1e-12"""
+    q["label_dimension"] = "SELECT label_index, class_label, tree_type, condition FROM class_labels"
+    q["observed_labels"] = f"""WITH {WRITTEN} SELECT row_number() OVER (ORDER BY label_index) - 1 AS label_index, class_label, tree_type, condition FROM class_labels
+        WHERE class_label IN (SELECT class_label FROM w WHERE split = 'test')"""
+    q["label_file"] = q["label_dimension"]
+    q["manifest_file"] = f"""WITH {ITEMS} SELECT image_path, source_dataset, class_label, 'item:' || item_id AS group_id, coalesce(official_group, '') AS official_group, label_index AS target
+        FROM it JOIN class_labels USING (class_label) WHERE image_path IS NOT NULL AND source_dataset IS NOT NULL"""
+    q["set_differences"] = """SELECT 'left' AS only_in, count(*) AS n FROM (SELECT item_id FROM items WHERE item_id IS NOT NULL EXCEPT SELECT item_id FROM manifest) HAVING count(*) > 0
+        UNION ALL SELECT 'right', count(*) FROM (SELECT item_id FROM manifest WHERE item_id IS NOT NULL EXCEPT SELECT item_id FROM items) HAVING count(*) > 0"""
     return q

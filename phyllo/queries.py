@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -274,13 +275,6 @@ def groups_by_split(spark, sf_dir):
 
 @query
 def missing_classes(spark, sf_dir):
-    """A3, V10, without rows of some labels and rows without a group."""
-    rows = _manifest(spark, sf_dir).where("group_id IS NOT NULL AND class_label <> 'apple_multiple_diseases' AND (split <> 'test' OR tree_type <> 'cherry')")
-    return checks.missing_classes(rows, _labels(spark, sf_dir))
-
-
-@query
-def missing_classes_all_rows(spark, sf_dir):
     """A3, V10, on every row of the manifest."""
     return checks.missing_classes(_written(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -389,8 +383,8 @@ def data_summary(spark, sf_dir):
 
 @query
 def component_histogram(spark, sf_dir):
-    """G1 on the groups of the manifest."""
-    return split.component_histogram(_manifest(spark, sf_dir).where("group_id IS NOT NULL").withColumnRenamed("group_id", "root"))
+    """G1 on the groups of the manifest; a row without a group is one by itself."""
+    return split.component_histogram(_grouped(spark, sf_dir))
 
 
 @query
@@ -399,31 +393,53 @@ def split_targets(spark, sf_dir):
     return split.split_targets(_manifest(spark, sf_dir)).withColumn("target", F.round("target", 6))
 
 
-def _resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _manifest(spark, sf_dir).select("item_id", "image_path", "relative_path", "source_dataset", "class_label", F.coalesce("group_id", F.concat(F.lit("item:"), F.col("item_id"))).alias("root"))
-    return rows.join(split.grouped_split(rows), "root")
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest(spark, sf_dir).select("item_id", "image_path", "relative_path", "source_dataset", "class_label", F.coalesce("group_id", F.concat(F.lit("item:"), F.col("item_id"))).alias("root"))
 
 
 @query
 def grouped_split(spark, sf_dir):
-    """A new split of the manifest's groups."""
-    return _resplit(spark, sf_dir).select("root", "split").distinct()
+    """A new split of the manifest's groups, by the sequential choice."""
+    return split.grouped_split(_grouped(spark, sf_dir), exact=True)
+
+
+@query
+def split_by_rounds(spark, sf_dir):
+    """G3 by all tasks, in rounds."""
+    return split.grouped_split(_grouped(spark, sf_dir))
 
 
 @query
 def split_distribution(spark, sf_dir):
-    """G4 of the new split."""
-    return split.split_distribution(_resplit(spark, sf_dir))
+    """G4 of the sequential split."""
+    rows = _grouped(spark, sf_dir)
+    return split.split_distribution(rows.join(split.grouped_split(rows, exact=True), "root"))
+
+
+@query
+def split_properties(spark, sf_dir):
+    """What must hold for both ways of splitting: no group is parted or left out, and every label
+    with three groups has images in all splits."""
+    rows = _grouped(spark, sf_dir)
+    out = []
+    for way, exact in (("sequential", True), ("rounds", False)):
+        done = split.grouped_split(rows, exact=exact)
+        joined = rows.join(done, "root", "left")
+        parted = joined.groupBy("root").agg(F.count_distinct("split").alias("k")).where("k <> 1").agg(F.count("*").alias("n"))
+        short = joined.groupBy("class_label").agg(F.count_distinct("root").alias("groups"), F.count_distinct("split").alias("k")).where("groups >= 3 AND k < 3").agg(F.count("*").alias("n"))
+        out += [df.select(F.lit(way).alias("way"), F.lit(name).alias("property"), "n") for name, df in (("groups parted or left out", parted), ("labels without all splits", short))]
+        off = [(F.abs(F.avg((F.col("split") == s).cast("int")) - share) > 0.02).cast("long") for s, share in zip(split.SPLITS, split.FRACTIONS)]
+        out.append(joined.agg(sum(off[1:], off[0]).alias("n")).select(F.lit(way).alias("way"), F.lit("splits off their share").alias("property"), "n"))
+    return reduce(DataFrame.unionByName, out)
 
 
 @query
 def hash_split(spark, sf_dir):
     """G5, an addition."""
-    rows = _manifest(spark, sf_dir).where("group_id IS NOT NULL").select("item_id", F.col("group_id").alias("root"))
-    return split.hash_split(rows).groupBy("split").agg(F.count("*").alias("n"))
+    return split.hash_split(_grouped(spark, sf_dir)).groupBy("split").agg(F.count("*").alias("n"))
 
 
-# Evaluation: the latest import is the truth, the older run's manifest the prediction
+# Evaluation: the latest import is the truth; the label at the other end of an item's first match stands for a prediction
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -511,13 +527,80 @@ def history_epochs(spark, sf_dir):
     return checks.bad_epochs(_history(spark, sf_dir))
 
 
+@query
+def matrix_violations(spark, sf_dir):
+    """Cells of the confusion matrix that are negative or outside the labels."""
+    return checks.bad_matrix(metrics.confusion(_predictions(spark, sf_dir)), _labels(spark, sf_dir))
+
+
+@query
+def totals_disagree(spark, sf_dir):
+    """Totals of the matrix, of the manifest's items and of the labels' supports, if they differ."""
+    matrix = metrics.confusion(_predictions(spark, sf_dir))
+    return checks.totals_disagree(matrix=matrix.agg(F.sum("n").alias("n")), manifest=_manifest(spark, sf_dir).agg(F.count("*").alias("n")), support=_per_class(spark, sf_dir).agg(F.sum("support").alias("n")))
+
+
+@query
+def checkpoint_disagrees(spark, sf_dir):
+    """The last epoch of the history as the selected checkpoint, if it is not the best."""
+    history = _history(spark, sf_dir)
+    last = history.agg(F.max_by("macro_f1", "epoch").alias("macro_f1"), F.max("epoch").alias("epoch"))
+    return checks.checkpoint_disagrees(history, last)
+
+
+@query
+def label_dimension(spark, sf_dir):
+    """The labels, made from the conditions of each tree."""
+    from . import labels
+
+    return labels.labels(spark)
+
+
+@query
+def observed_labels(spark, sf_dir):
+    """Labels with test rows in the manifest, numbered again."""
+    from . import labels
+
+    return labels.reindex(_labels(spark, sf_dir), _written(spark, sf_dir).where("split = 'test'"))
+
+
+# Files
+
+
+@query
+def label_file(spark, sf_dir):
+    """The labels, written as a file and read with all checks."""
+    from .session import Scratch
+    from .sources import tables
+
+    path = f"{Scratch(spark, 'label-file').root}/labels.json"
+    tables.write_json(spark, path, tables.label_json(_labels(spark, sf_dir)))
+    return tables.read_labels(spark, path)
+
+
+@query
+def manifest_file(spark, sf_dir):
+    """Items as a manifest, each its own group, written as CSV and read with all checks."""
+    from . import schemas
+    from .labels import with_label
+    from .session import Scratch
+    from .sources import tables
+
+    rows = with_label(_items(spark, sf_dir).where("image_path IS NOT NULL AND source_dataset IS NOT NULL"), _labels(spark, sf_dir))
+    rows = rows.withColumns({"group_id": F.concat(F.lit("item:"), F.col("item_id")), "split": F.lit("train")}).fillna("")
+    path = f"{Scratch(spark, 'manifest-file').root}/manifest"
+    tables.write_csv(rows, path, schemas.MANIFEST_FIELDS, ("source_dataset", "relative_path"))
+    read = tables.read_manifest(spark, path, _labels(spark, sf_dir))
+    return read.select("image_path", "source_dataset", "class_label", "group_id", "official_group", "target")
+
+
 # Order and limits
 
 
 @query
 def ordered_rows(spark, sf_dir):
     """Dense position of each item in the order of the items."""
-    return relate.ordinals(_items(spark, sf_dir).where("source_dataset IS NOT NULL AND relative_path IS NOT NULL"), spark).select("item_id", "ord")
+    return relate.ordinals(_items(spark, sf_dir), spark).select("item_id", "ord")
 
 
 @query
@@ -544,6 +627,13 @@ def path_difference(spark, sf_dir):
     return table(spark, sf_dir, "items").select("item_id").subtract(table(spark, sf_dir, "manifest").select("item_id"))
 
 
+@query
+def set_differences(spark, sf_dir):
+    """Equality of two sets of ids (2.12): what each side lacks."""
+    items, manifest = (table(spark, sf_dir, t).where("item_id IS NOT NULL") for t in ("items", "manifest"))
+    return checks.set_differences(items, manifest, "item_id").groupBy("only_in").agg(F.count("*").alias("n"))
+
+
 # Constraints
 
 
@@ -560,22 +650,14 @@ def unknown_splits(spark, sf_dir):
 
 @query
 def unknown_labels(spark, sf_dir):
-    """V2, against the labels of four trees."""
-    labels = _labels(spark, sf_dir).where("tree_type <> 'orange'")
-    return checks.unknown_labels(_told(spark, sf_dir), labels).groupBy("class_label").agg(F.count("*").alias("n"))
-
-
-@query
-def unknown_labels_all_rows(spark, sf_dir):
     """V2, on every row of the manifest against all labels."""
     return checks.unknown_labels(_written(spark, sf_dir), _labels(spark, sf_dir)).groupBy("class_label").agg(F.count("*").alias("n"))
 
 
 @query
 def label_parts_disagree(spark, sf_dir):
-    """V3, with the items' parts against the labels that the older run's pairs give them."""
-    said = table(spark, sf_dir, "match_pairs").select(F.col("item_id_a").alias("item_id"), F.col("label_b").alias("class_label"))
-    rows = said.join(table(spark, sf_dir, "items").select("item_id", "tree_type", "condition").distinct(), "item_id")
+    """V3, on every row of the manifest."""
+    rows = table(spark, sf_dir, "manifest").select("item_id", "class_label", "tree_type", "condition")
     return checks.label_parts_disagree(rows, _labels(spark, sf_dir)).distinct()
 
 
@@ -599,24 +681,12 @@ def repeated_paths(spark, sf_dir):
 
 @query
 def empty_splits(spark, sf_dir):
-    """V8, among the rows of one rare label."""
-    return checks.empty_splits(_manifest(spark, sf_dir).where("class_label = 'cherry_healthy' AND split <> 'val'"), spark)
-
-
-@query
-def empty_splits_all_rows(spark, sf_dir):
     """V8, on every row of the manifest."""
     return checks.empty_splits(_written(spark, sf_dir), spark)
 
 
 @query
 def labels_without_training(spark, sf_dir):
-    """V9, among the rows of one source."""
-    return checks.labels_without_rows(_manifest(spark, sf_dir).where("source_dataset = 'cornell'"), _labels(spark, sf_dir), "train")
-
-
-@query
-def labels_without_training_all_rows(spark, sf_dir):
     """V9, on every row of the manifest."""
     return checks.labels_without_rows(_written(spark, sf_dir), _labels(spark, sf_dir), "train")
 
@@ -641,7 +711,7 @@ def not_exactly_one(spark, sf_dir):
 def inventory_violations(spark, sf_dir):
     """V14 on the curated source's paths."""
     files = _items(spark, sf_dir).where(F.col("source_dataset") == curate.CURATED_SOURCE).select(F.regexp_replace("relative_path", "/lot_[0-9]+/", "/").alias("path"))
-    categories = table(spark, sf_dir, "label_map").where("source_dataset = 'mangoleafbd' AND source_label <> 'Healthy'").select(F.col("source_label").alias("category"))
+    categories = table(spark, sf_dir, "label_map").where("source_dataset = 'mangoleafbd'").select(F.col("source_label").alias("category"))
     return checks.bad_inventory(files, categories, 500, 2).groupBy("problem").agg(F.count("*").alias("n_paths"), F.sum("n").alias("n"))
 
 
@@ -655,11 +725,5 @@ def support_disagrees(spark, sf_dir):
 
 @query
 def manifest_violations(spark, sf_dir):
-    """V1 to V9 in one table, on the latest row of each item."""
-    return checks.manifest_violations(_manifest(spark, sf_dir), _labels(spark, sf_dir), spark, table(spark, sf_dir, "items"))
-
-
-@query
-def manifest_violations_all_rows(spark, sf_dir):
     """V1 to V9 in one table, on every row of the manifest."""
     return checks.manifest_violations(_written(spark, sf_dir), _labels(spark, sf_dir), spark, table(spark, sf_dir, "items"))

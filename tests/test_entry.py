@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 from phyllo import queries as core
 
-#: Results that SQL cannot give: a sequential choice, and a hash that only Spark has.
-NO_SQL = {"grouped_split", "split_distribution", "hash_split"}
+#: Results that SQL cannot give: a sequential choice, and a hash that only Spark has. split_properties holds what must be true of them.
+NO_SQL = {"grouped_split", "split_by_rounds", "split_distribution"}
 
 
 def norm(v):
