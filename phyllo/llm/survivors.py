@@ -108,16 +108,16 @@ def survivors(curation: DataFrame, captures: DataFrame) -> DataFrame:
         .withColumn("month", F.coalesce(F.year("read_at") * 12 + F.month("read_at"), F.lit(0)))
     )
 
-    def known_first(order: list) -> list:
-        return [F.min_by(f, F.when(F.col(f).isNotNull(), F.struct(*order, f))).alias(f) for f in FILLED]
-
     vector = ["edited", "area", "markers", "month"]
     order = F.struct("relative_path", "item_id")
-    vectors = ranked.groupBy(*groups, *vector).agg(F.min(order).alias("first"), F.count_distinct("item_id").alias("n"), *known_first(["relative_path", "item_id"]))
+    # Each field keeps the record that knows it, since the policy also orders the records of one layer.
+    known_by = [F.min(F.when(F.col(f).isNotNull(), F.struct("relative_path", "item_id", F.col(f).alias("value")))).alias(f) for f in FILLED]
+    vectors = ranked.groupBy(*groups, *vector).agg(F.min(order).alias("first"), F.count_distinct("item_id").alias("n"), *known_by)
     vectors = vectors.select(*groups, *vector, "first.relative_path", "first.item_id", "n", *FILLED)
     ordered = vectors.repartition(*groups).sortWithinPartitions(*groups, F.desc("area"), "edited", "markers", F.desc("month"))
     layered = ordered.mapInArrow(_layered, T.StructType([*vectors.schema, T.StructField("layer", T.IntegerType())]))
-    policy = ["edited", (-F.col("area")).alias("less"), "markers", "relative_path", "item_id"]
-    best = F.min(F.when(F.col("layer") == 1, F.struct(*policy)))
-    out = layered.groupBy(*groups).agg(best.alias("best"), *known_first(["layer", *policy]), F.sum("n").alias("n_records"), F.max("layer").alias("n_layers"))
+    policy = ["edited", (-F.col("area")).alias("less"), "markers"]
+    best = F.min(F.when(F.col("layer") == 1, F.struct(*policy, "relative_path", "item_id")))
+    fills = [F.min(F.when(F.col(f).isNotNull(), F.struct("layer", *policy, f)))[f]["value"].alias(f) for f in FILLED]
+    out = layered.groupBy(*groups).agg(best.alias("best"), *fills, F.sum("n").alias("n_records"), F.max("layer").alias("n_layers"))
     return out.select(*groups, "best.item_id", "best.relative_path", *FILLED, "n_records", "n_layers")
