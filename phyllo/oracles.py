@@ -348,7 +348,7 @@ def oracle_sql() -> dict[str, str]:
     q["checkpoint_disagrees"] = f"""WITH {HISTORY}, last AS (SELECT * FROM hist ORDER BY epoch DESC LIMIT 1), best AS (SELECT epoch AS best_epoch, macro_f1 AS best_f1 FROM hist ORDER BY macro_f1 DESC, epoch LIMIT 1)
         SELECT * FROM last, best WHERE epoch <> best_epoch OR abs(macro_f1 - best_f1) > 1e-12"""
     q["label_dimension"] = "SELECT label_index, class_label, tree_type, condition FROM class_labels"
-    q["observed_labels"] = f"""WITH {WRITTEN} SELECT row_number() OVER (ORDER BY label_index) - 1 AS label_index, class_label, tree_type, condition FROM class_labels
+    q["observed_labels"] = f"""WITH {WRITTEN} SELECT (row_number() OVER (ORDER BY label_index) - 1)::INT AS label_index, class_label, tree_type, condition FROM class_labels
         WHERE class_label IN (SELECT class_label FROM w WHERE split = 'test')"""
     q["label_file"] = q["label_dimension"]
     q["manifest_file"] = f"""WITH {ITEMS} SELECT image_path, source_dataset, class_label, 'item:' || item_id AS group_id, coalesce(official_group, '') AS official_group, label_index AS target
