@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions.text import hamming, missing_to_null
@@ -93,27 +95,57 @@ def near_pairs(items: DataFrame, radius: int = 4) -> DataFrame:
     """Similar items of different content: the later one's orientations against the earlier one's canonical hash.
 
     Only the first item of each content takes part. The distance of a pair is
-    the least over the orientations and is at most ``radius`` (0 to 16). An
-    equi-join on hash parts replaces the comparison of everything with
-    everything; it carries ids and hashes only, and what the pairs tell of
-    their items is joined to the pairs found. Up to a radius of 8 a part has at
-    least 7 bits; beyond, parts are short and the join approaches a comparison
-    of all pairs.
+    the least over the orientations and is at most ``radius`` (0 to 16). Up to
+    a radius of 4 an equi-join on hash parts replaces the comparison of
+    everything with everything; beyond, equal parts are short and common, and
+    longer parts are looked up with flipped bits. Both carry ids and hashes
+    only; what the pairs tell of their items is joined to the pairs found. The
+    larger the radius, the shorter the parts: at 16 nearly all pairs are
+    compared.
     """
     if not 0 <= radius <= 16:
         raise ValueError("the radius must be between 0 and 16")
+    told = F.struct("key", "item_id", "image_path", "source_dataset", "class_label")
     firsts = first_occurrences(items).select("first.*").where("size(hashes) > 0")
+    if radius > 4:
+        firsts, near = _near_by_lookup(firsts, radius)
+        near = near.join(firsts.select(F.col("list").alias("list_a"), told.alias("f")), "list_a").join(firsts.withColumnRenamed("list", "list_b"), "list_b")
+        return near.where(F.col("f.key") < F.col("key")).select(*_pair("f", "perceptual_candidate", F.col("d")))
     canon = firsts.select(F.col("item_id").alias("a"), F.explode(_bands(F.element_at("hashes", 1), radius)).alias("p"), F.element_at("hashes", 1).alias("canonical"))
     turned = firsts.select(F.col("item_id").alias("b"), F.explode(F.array_distinct("hashes")).alias("turn"))
     turned = turned.select("b", "turn", F.explode(_bands(F.col("turn"), radius)).alias("p"))
     met = turned.select("b", "turn", "p.*").join(canon.select("a", "canonical", "p.*"), ["band", "part"]).where("a <> b")
     near = met.withColumn("d", hamming("turn", "canonical")).where(F.col("d") <= radius).groupBy("a", "b").agg(F.min("d").alias("d"))
-    told = F.struct("key", "item_id", "image_path", "source_dataset", "class_label")
     a = firsts.select(F.col("item_id").alias("a"), told.alias("f"))
     b = firsts.select("key", "item_id", "image_path", "source_dataset", "class_label", F.col("item_id").alias("b"))
     return near.join(a, "a").join(b, "b").where(F.col("f.key") < F.col("key")).select(*_pair("f", "perceptual_candidate", F.col("d")))
 
 
+def _near_by_lookup(firsts: DataFrame, radius: int, rows: tuple[int, int] = (256_000, 512_000)) -> tuple[DataFrame, DataFrame]:
+    """``firsts`` with ``list``, an id of their hash list, and the lists within the radius, in both orders of items.
+
+    Equal lists are compared once. Every chunk of canonical hashes meets every
+    chunk of orientations in one task; ``rows`` are the sizes of the chunks and
+    change nothing in the result.
+    """
+    from ..functions.near import close_lists
+    from ..session import Scratch
+
+    spark = firsts.sparkSession
+    firsts = Scratch(spark, "near").save(firsts.withColumn("list", F.min("item_id").over(Window.partitionBy("hashes"))))
+    lists = firsts.where("list = item_id").select(F.col("item_id").alias("id"), "hashes")
+    n = lists.count()
+    across, down = (max(1, -(-n // size)) for size in rows)
+    canon = lists.select("id", F.lit(False).alias("sought"), F.array(F.element_at("hashes", 1)).alias("values"), F.pmod(F.xxhash64("id"), F.lit(across)).alias("column"), F.explode(F.sequence(F.lit(0), F.lit(down - 1))).alias("row"))
+    turned = lists.select("id", F.lit(True).alias("sought"), F.array_distinct("hashes").alias("values"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("column"), F.pmod(F.xxhash64("id"), F.lit(down)).alias("row"))
+    sides = canon.unionByName(turned).withColumn("values", F.filter("values", lambda h: h.isNotNull()))
+    placed = sides.repartitionById(across * down, (F.col("row") * across + F.col("column")).cast("int")).select("id", "sought", "values")
+    kind = firsts.schema["item_id"].dataType
+    met = placed.mapInArrow(close_lists(radius, to_arrow_type(kind)), T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.IntegerType())]))
+    same = firsts.where("list <> item_id AND element_at(hashes, 1) IS NOT NULL").select("list").distinct().select(F.col("list").alias("list_a"), F.col("list").alias("list_b"), F.lit(0).alias("d"))
+    return firsts.drop("hashes"), met.groupBy(F.col("a").alias("list_a"), F.col("b").alias("list_b")).agg(F.min("d").alias("d")).unionByName(same)
+
+
 def near_links(items: DataFrame, radius: int = 4) -> DataFrame:
     """Edges with the same components as ``near_pairs``, without all pairs of a crowd.
 
